@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,7 +219,7 @@ def _predict(net: BiGRU | None):
 
 def _by_bytes(batch: pa.RecordBatch, size: int):
     """Slices of about `size` bytes of text."""
-    n = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    n = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     cut = np.flatnonzero(np.diff(np.cumsum(n) // size)) + 1
     for a, b in zip([0, *cut], [*cut, len(batch)], strict=True):
         if b > a:
