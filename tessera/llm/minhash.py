@@ -9,7 +9,8 @@ borrow from a full one by a fixed random sequence, so registers agree with the p
    so a bucket of n rows costs n candidate pairs, not n squared.
 3. Candidates are taken best first, a few for each document, and only between different components so far. The estimate,
    corrected for chance agreement of compressed registers, drops what is far below the threshold; full sets confirm the rest.
-4. What shares a bucket but is still in different components is compared pair by pair, so that no link is lost to the hubs.
+4. What shares a bucket but is still in different components is joined by the rarest shingles of the sets (a prefix filter, which
+   is exact), so that no link is lost to the hubs.
 """
 
 from __future__ import annotations
@@ -226,7 +227,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     if comp is None:
         to = ids.select("sig", F.col("rep").alias("component_id"))
     else:
-        rest = materialize(_rest(buckets, comp, done), "rest")
+        rest = materialize(_rest(buckets, comp, done, sets, percent), "rest")
         if not rest.isEmpty():
             comp = materialize(components(links.union(_verify(rest, regs, sets, percent))), "components")
         member = ids.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -263,11 +264,30 @@ def _verify(pairs: DataFrame, inside: DataFrame, sets: DataFrame, percent: int)
     return out
 
 
-def _rest(buckets: DataFrame, comp: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs that share a bucket and whose components differ still, each once, without those done."""
+def _tokens(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "c", "n", "tokens"])
+
+
+def _rest(buckets: DataFrame, comp: DataFrame, done: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that can still link, among all that share a bucket with another component.
+
+    A large group of rather similar texts would have a pair for any two here. So pairs are made by prefixes: with its shingles
+    ordered by how many of these sets have them, two sets that link share one of the first n - ceil(n * percent / 100) + 1 of
+    each, and those are the rarest. The sizes of the sets must allow the similarity too.
+    """
     rows = buckets.select("band", "key", "id").join(comp, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("c"))
     mixed = rows.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
-    rows = materialize(rows.join(mixed, ["band", "key"]), "mixed")
-    x, y = rows.select("band", "key", F.col("id").alias("x"), F.col("c").alias("cx")), rows.select("band", "key", F.col("id").alias("y"), F.col("c").alias("cy"))
-    pairs = x.join(y, ["band", "key"]).where("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    ids = rows.join(mixed, ["band", "key"]).select("id", "c").distinct()
+    lists = materialize(sets.join(ids, "id").select("id", "c", "set").mapInArrow(_tokens, "id long, c long, n long, tokens array<long>"), "tokens")
+    tokens = lists.select("id", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    least = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = lists.select("id", "c", "n").join(ranked, "id").select("id", "c", "n", F.explode(F.slice("ranked", F.lit(1), least.cast("int"))).alias("t"))
+    prefix = materialize(prefix.where("t.df > 1").select("id", "c", "n", F.col("t.token").alias("token")), "prefix")
+    x, y = prefix.toDF("x", "cx", "nx", "token"), prefix.toDF("y", "cy", "ny", "token")
+    near = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (F.col("cx") < F.col("cy"))
+    pairs = x.join(y, "token").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
