@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Module -> its queries; each module has QUERIES (name -> function of spark, sf_dir) and may have ORACLE_SQL (name -> DuckDB SQL).
-MODULES = ("q_dedup", "q_chat", "q_embed", "q_secrets", "q_media", "q_packing", "q_langid", "q_license")
+MODULES = ("q_dedup", "q_chat", "q_embed", "q_secrets", "q_media", "q_packing", "q_langid", "q_license", "q_mixing", "q_lm")
 
 
 def _gather(attribute: str) -> dict:
