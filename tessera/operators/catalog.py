@@ -196,7 +196,8 @@ def has_language(asked: DataFrame, languages: DataFrame, name: str = "name") ->
 
 def has_parser(asked: DataFrame, languages: DataFrame, name: str = "name") -> DataFrame:
     """asked with has_parser: a syntax backend is built in for it."""
-    return has_language(asked, languages.where("backend is not null"), name).withColumnRenamed("known", "has_parser")
+    able = languages.where("alias_of is null and backend is not null").select(F.col("name").alias("_able")).distinct()
+    return asked.withColumn("_to", resolve_alias(F.col(name))).join(F.broadcast(able), F.col("_to") == F.col("_able"), "left").withColumn("has_parser", F.col("_able").isNotNull()).drop("_to", "_able")
 
 
 def list_filter(languages: DataFrame, part: str) -> DataFrame:
