@@ -2,7 +2,9 @@
 
 A payload is stored as a grey PNG of 8-bit samples, 64 wide. Every distinct payload is stored once, in a tar shard of the shared
 folder, under its SHA-256; the manifest says where. Metadata columns come from range reads of the 33 header bytes, features
-from range reads of one member. Writers are tasks: a task that is run again writes new shards and only those it returns count,
+from range reads of one member. A payload that only one document has is written by the task that reads the document; only
+those that several may have are shuffled. A filter of fixed size, made of all digests that occur more than once, tells them
+apart: it errs only towards the shuffle. Writers are tasks: a task that is run again writes new shards and only those it returns count,
 so a lost executor leaves at most files that no manifest names.
 """
 
@@ -27,6 +29,8 @@ SHARD_BYTES = 256 << 20
 HEADER = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _LEVEL = 6
+#: 8 MB, whatever the number of digests.
+FILTER_BITS, FILTER_CHUNKS = 1 << 26, 128
 
 
 def payload_of(text: bytes) -> bytes:
@@ -75,71 +79,130 @@ def digest_of(text: Column | str) -> Column:
     return F.unhex(F.sha2(F.concat(text, F.repeat(F.lit("\0"), pad)), 256))
 
 
-def _encode(batches):
-    seen: set[bytes] = set()
+def _places(digests: list[bytes]) -> np.ndarray:
+    """Four filter bits for each digest."""
+    return np.frombuffer(b"".join(digests), "<u8").reshape(-1, 4) % np.uint64(FILTER_BITS)
+
+
+def _marks(batches):
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            payload = payload_of(text or b"")
-            key = hashlib.sha256(payload).digest()
-            if key not in seen:  # copies in one partition go no further
-                seen.add(key)
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([to_png(payload)], pa.binary())], ["digest", "media"])
-
-
-def _together(size: int, batches):
-    """Small batches joined to some of about `size` bytes."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.nbytes
-        if n >= size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        if len(batch):
+            at = _places(batch.column(0).to_pylist()).ravel()
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+    for i, chunk in enumerate(bits.reshape(FILTER_CHUNKS, -1)):
+        if chunk.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([chunk.tobytes()], pa.binary())], ["chunk", "bits"])
 
 
-def _write(store: str):
-    def run(batches):
+def _any(batches):
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            b = np.frombuffer(b, np.uint8)
+            held[i] = held[i] | b if i in held else b
+    for i, b in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([b.tobytes()], pa.binary())], ["chunk", "bits"])
+
+
+def shared_filter(docs: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits that are set for every digest which occurs more than once."""
+    often = docs.select(digest_of("text").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    chunks = often.mapInArrow(_marks, "chunk int, bits binary").repartition(FILTER_CHUNKS, "chunk").mapInArrow(_any, "chunk int, bits binary")
+    out = np.zeros((FILTER_CHUNKS, FILTER_BITS // 8 // FILTER_CHUNKS), np.uint8)
+    for r in chunks.toLocalIterator():
+        out[r.chunk] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.ravel()
+
+
+class _Shards:
+    """Tar shards that one task writes."""
+
+    def __init__(self, store: str) -> None:
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(store)
-        system.create_dir(root, recursive=True)
-        seen: set[bytes] = set()
-        out, shard, offset = None, "", 0
+        self.system, self.root = fs.FileSystem.from_uri(store)
+        self.system.create_dir(self.root, recursive=True)
+        self.out, self.name, self.offset = None, "", 0
+
+    def add(self, key: bytes, media: bytes) -> tuple[bytes, str, int, int]:
+        if self.out is None:
+            self.name, self.offset = f"shard-{uuid.uuid4().hex}.tar", 0
+            self.out = self.system.open_output_stream(f"{self.root}/{self.name}")
+        info = tarfile.TarInfo(f"{key.hex()}.png")
+        info.size = len(media)
+        head = info.tobuf()
+        self.out.write(head + media + bytes(-len(media) % 512))
+        row = key, self.name, self.offset + len(head), len(media)
+        self.offset += len(head) + len(media) + -len(media) % 512
+        if self.offset >= SHARD_BYTES:
+            self.close()
+        return row
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.write(bytes(1024))
+            self.out.close()
+            self.out = None
+
+
+_PLACED = "digest binary, shard string, offset long, length long, media binary"
+
+
+def _placed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["digest", "shard", "offset", "length", "media"])
+
+
+def _encode(store: str, bits):
+    """Payloads that may be shared come out with their media, without a place; the others are in a shard."""
+
+    def run(batches):
+        shards, seen, shared = _Shards(store), set(), bits.value
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                payloads = [payload_of(t or b"") for t in batch.column(0).slice(at, 256).cast(pa.binary()).to_pylist()]
+                keys = [hashlib.sha256(p).digest() for p in payloads]
+                places = _places(keys)
+                maybe = ((shared[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype(np.uint8)) & 1).all(1)
+                rows = []
+                for key, p, m in zip(keys, payloads, maybe, strict=True):
+                    if not m:
+                        rows.append((*shards.add(key, to_png(p)), None))
+                    elif key not in seen:  # copies in one partition go no further
+                        seen.add(key)
+                        rows.append((key, None, None, None, to_png(p)))
+                if rows:
+                    yield _placed(rows)
+        shards.close()
+
+    return run
+
+
+def _write(store: str):
+    def run(batches):
+        shards, seen = _Shards(store), set()
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows = []
             for key, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
-                if out is None:
-                    shard, offset = f"shard-{uuid.uuid4().hex}.tar", 0
-                    out = system.open_output_stream(f"{root}/{shard}")
-                info = tarfile.TarInfo(f"{key.hex()}.png")
-                info.size = len(media)
-                head = info.tobuf()
-                out.write(head + media + bytes(-len(media) % 512))
-                for column, x in zip(rows, (key, shard, offset + len(head), len(media)), strict=True):
-                    column.append(x)
-                offset += len(head) + len(media) + -len(media) % 512
-                if offset >= SHARD_BYTES:
-                    out.write(bytes(1024))
-                    out.close()
-                    out = None
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["digest", "shard", "offset", "length"])
-        if out is not None:
-            out.write(bytes(1024))
-            out.close()
+                if key not in seen:
+                    seen.add(key)
+                    rows.append((*shards.add(key, media), None))
+            if rows:
+                yield _placed(rows)
+        shards.close()
 
     return run
 
 
 def store_texts(docs: DataFrame, store: str) -> DataFrame:
     """Stores each distinct payload of docs(text) once and returns the manifest (digest, shard, offset, length)."""
-    media = narrow(docs, text="string").mapInArrow(lambda b: _together(1 << 20, _encode(b)), "digest binary, media binary")
+    docs = narrow(docs, text="string")
+    bits = docs.sparkSession.sparkContext.broadcast(shared_filter(docs))
+    first = materialize(docs.mapInArrow(_encode(store, bits), _PLACED), "placed")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(media.repartition(n, "digest").mapInArrow(_write(store), "digest binary, shard string, offset long, length long"), "manifest")
+    shared = first.where("shard is null").select("digest", "media").repartition(n, "digest").mapInArrow(_write(store), _PLACED)
+    return materialize(first.where("shard is not null").unionByName(shared).drop("media"), "manifest")
 
 
 def _ranges(store: str, batches, size: int | None):
