@@ -5,7 +5,7 @@
     mark         = "" | "!"
 
 The role is always escaped; the body only where the mark says so. In what is escaped a backslash stands before each backslash
-and inside each control string (after its first character), and in a role also before a white space, "!" or "]". The parser
+and inside each control string (after its first character), and in a role also before a white space, "!", "<" or a bracket. The parser
 reads a header line, then up to the first end marker; it knows nothing of the source. Each turn is rendered plain first, parsed
 back and, if the turns recovered aren't the one put in, escaped and parsed again. Other formats' control strings are escaped
 too, so that no text can speak for the template of a model trained on the output.
@@ -26,7 +26,7 @@ OPEN, CLOSE = "[TURN ", "\n[/TURN]\n"
 #: Strings that mark turns here or in common templates.
 CONTROL = ("[TURN ", "[/TURN]", "[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)) + r"|\\")
-_ROLE = re.compile(r"[\s!\]\[\\]")
+_ROLE = re.compile(r"[\s!\]\[\\<]")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 NO_ROLE = "\\0"
 
