@@ -13,6 +13,7 @@ import functools
 import os
 import zlib
 from itertools import chain
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from tessera.llm.common import materialize, narrow
 
 GROUP = 16_384
 #: Words whose ids a worker keeps, in two generations.
-MEMO = 150_000
+MEMO = 400_000
 END = 1
 
 
@@ -36,10 +37,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A table with (at least) all of the words."""
         missing = []
         for w in words - self.new.keys():
@@ -49,8 +50,8 @@ class Words:
                 self.new[w] = b
         for k in range(0, len(missing), 4096):
             part = missing[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.new[w] = np.array(e.ids, "<u4").tobytes()
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.new[w] = pack_ids(f"<{len(e.ids)}I", *e.ids)
         out = self.new
         if len(out) > MEMO:
             self.old, self.new = out, {}
@@ -62,8 +63,16 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
-#: Only these are split on here; what else is white space the tokenizer sees to itself.
-_SPACES = str.maketrans("\n\t", "  ")
+def split(text: bytes | None) -> list[bytes]:
+    """The words of a text: what white space of ASCII parts; other white space the tokenizer sees to itself.
+
+    A-Z are lower-cased first, so that fewer words are new, where that cannot matter: the tokenizer lower-cases too, but only
+    after it composes accents, and its special tokens are in lower case.
+    """
+    text = text or b""
+    if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
+        text = text.lower()
+    return text.split()
 
 
 def _pieces(path: str, most: int):
@@ -72,10 +81,10 @@ def _pieces(path: str, most: int):
         for batch in batches:
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
-                split = [[w for w in (t or "").translate(_SPACES).split(" ") if w] for t in part.column(1).to_pylist()]
-                table = words.learn(set(chain.from_iterable(split)))
+                texts = [split(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                table = words.learn(set(chain.from_iterable(texts)))
                 out: list[list] = [[], [], [], [], []]
-                for doc, ws in zip(part.column(0).to_pylist(), split, strict=True):
+                for doc, ws in zip(part.column(0).to_pylist(), texts, strict=True):
                     ids = b"".join(map(table.__getitem__, ws)) + END.to_bytes(4, "little")
                     for piece, start in enumerate(range(0, len(ids), 4 * most)):
                         cut = ids[start : start + 4 * most]
