@@ -45,7 +45,7 @@ def components(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     links = materialize(links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a < b").distinct(), "links")
     if links.count() <= local_links:
         return links.repartition(1).mapInArrow(_solve, "id long, component long")
-    ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    ids = materialize(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), "ids")
     while True:
         both = links.union(links.select("b", "a").toDF("a", "b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
