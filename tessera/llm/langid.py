@@ -179,7 +179,7 @@ class BiGRU:
             d, f = doc[i : i + ABREAST], first[i : i + ABREAST]
             inside = f[None] + np.arange(SEGMENT)[:, None]
             real = inside < size[d]
-            seg = np.where(real, data[np.minimum(start[d] + inside, len(data) - 1)], PAD).astype(np.intp)
+            seg = np.where(real, data[np.minimum(start[d] + inside, len(data) - 1)].astype(np.intp), PAD)
             prob = np.einsum("ctn,tn->cn", self.positions(seg), real.astype(np.float32))
             for c in range(len(self.languages)):
                 total[:, c] += np.bincount(d, prob[c], len(texts))
