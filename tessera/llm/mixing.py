@@ -25,7 +25,7 @@ FEATURES = 1 << 18
 EPOCHS, MEMO = 12, 200_000
 DOMAINS = ("high", "low", "toxic")
 #: Fixed-point steps at most, and the change of the totals, against all tokens, that ends them.
-STEPS, ENOUGH = 40, 1e-5
+STEPS, ENOUGH, DAMP = 40, 1e-5, 0.02
 
 
 class _Memo(dict):
@@ -167,7 +167,7 @@ def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, flo
     else:
         goal = np.array([targets.get(n, 0.0) for n in names], float)
         goal *= (everything if budget is None else budget) / max(goal.sum(), 1e-12)
-    inverse = np.linalg.pinv(m + 1e-9 * everything * np.eye(k))
+    inverse = np.linalg.inv(m + DAMP * everything * np.eye(k))
     steps: list[np.ndarray] = []
     for _ in range(STEPS):
         steps.append(inverse @ (now - goal))
@@ -205,11 +205,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: f
 
 
 def drop_domain(docs: DataFrame, labels: DataFrame, domain: str = "toxic", share: float = 0.0) -> DataFrame:
-    """docs thinned so that `domain` has `share` of its tokens and the others have theirs: rates are at most 1, columns stay."""
+    """docs thinned so that documents of `domain` keep `share` of their tokens and the others theirs: rates are at most 1."""
     model = fit_domains(docs, labels)
     members = materialize(memberships(docs, model), "members")
-    whole = members.agg(F.sum(F.col("tokens") * F.col(f"p_{domain}"))).first()[0] or 0.0
-    steps = fit_rates(members, model.names, most=1.0, totals={domain: whole * share})
+    # What the classifier's doubts give to each domain stays: the totals aimed at are those of the documents of other domains.
+    mine = F.col(f"p_{domain}") >= F.greatest(*[F.col(f"p_{n}") for n in model.names])
+    part = F.when(mine, share).otherwise(1.0) * F.col("tokens")
+    goal = members.agg(*[F.sum(part * F.col(f"p_{n}")).alias(n) for n in model.names]).first().asDict()
+    steps = fit_rates(members, model.names, most=1.0, totals={n: x or 0.0 for n, x in goal.items()})
     predict = _memberships(model)
 
     def run(batches):
