@@ -139,6 +139,7 @@ def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, flo
     """The K-vectors of the steps. targets: shares of `budget` tokens (all tokens there are, if None); totals: tokens, instead."""
     k = len(names)
     at = ["tokens", *(f"p_{n}" for n in names)]
+    names_of_sums = [f"s{i}" for i in range(k + k * k)]
 
     def sums(steps: list[np.ndarray]):
         def run(batches):
@@ -150,12 +151,10 @@ def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, flo
                 first += rates(p, steps, most) @ tp
                 if not steps:
                     second += p.T @ tp
-            yield pa.RecordBatch.from_arrays([pa.array([[*first, *second.ravel()]], pa.list_(pa.float64()))], ["s"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*first, *second.ravel())], names_of_sums)
 
-        rows = members.select(*at).mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(k + k * k)
-        for r in rows:
-            out[r.i] = r.x
+        row = members.select(*at).mapInArrow(run, ", ".join(f"{n} double" for n in names_of_sums)).agg(*[F.sum(n).alias(n) for n in names_of_sums]).first()
+        out = np.array([x or 0.0 for x in row])
         return out[:k], out[k:].reshape(k, k)
 
     now, m = sums([])
