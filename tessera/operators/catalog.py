@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.errors import DownloadError, LanguageNotFoundError
 
@@ -207,8 +208,8 @@ def list_filter(languages: DataFrame, part: str) -> DataFrame:
 def complete(languages: DataFrame, prefix: str, limit: int = 100) -> DataFrame:
     """Names with the prefix, at most `limit`, with the total and whether there are more."""
     found = available_languages(languages).where(F.startswith(F.col("name"), F.lit(prefix)))
-    total = found.agg(F.count("*").alias("total"))
-    return found.orderBy("name").limit(limit).crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > limit)
+    counted = found.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(1))))
+    return counted.orderBy("name").limit(limit).withColumn("has_more", F.col("total") > limit)
 
 
 def info(languages: DataFrame, name: str, cache_dir: str = "") -> DataFrame:
