@@ -27,6 +27,8 @@ GROUP = 16_384
 #: Words whose ids a worker keeps, in two generations.
 MEMO = 400_000
 END = 1
+#: ASCII punctuation that no contraction begins with.
+TAIL = b".,;:!?*#%&$|)"
 
 
 class Words:
@@ -41,9 +43,24 @@ class Words:
         self.old: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """A table with (at least) all of the words."""
-        missing = []
+        """A table with (at least) all of the words.
+
+        Punctuation after a letter is a piece of its own to the tokenizer, so a word takes the ids of its core and its tail.
+        """
+        cut: dict[bytes, bytes] = {}
+        whole: set[bytes] = set()
         for w in words - self.new.keys():
+            if (b := self.old.get(w)) is not None:
+                self.new[w] = b
+                continue
+            core = w.rstrip(TAIL)
+            if 0 < len(core) < len(w) and core.decode()[-1].isalpha():
+                cut[w] = core
+                whole.update((core, w[len(core) :]))
+            else:
+                whole.add(w)
+        missing = []
+        for w in whole - self.new.keys():
             if (b := self.old.get(w)) is None:
                 missing.append(w)
             else:
@@ -52,6 +69,8 @@ class Words:
             part = missing[k : k + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.new[w] = pack_ids(f"<{len(e.ids)}I", *e.ids)
+        for w, core in cut.items():
+            self.new[w] = self.new[core] + self.new[w[len(core) :]]
         out = self.new
         if len(out) > MEMO:
             self.old, self.new = out, {}
