@@ -275,7 +275,8 @@ def _rest(buckets: DataFrame, comp: DataFrame, done: DataFrame, sets: DataFrame,
 
     A large group of rather similar texts would have a pair for any two here. So pairs are made by prefixes: with its shingles
     ordered by how many of these sets have them, two sets that link share one of the first n - ceil(n * percent / 100) + 1 of
-    each, and those are the rarest. The sizes of the sets must allow the similarity too.
+    each, and those are the rarest. The sizes of the sets must allow the similarity too, and so must what is left of both sets
+    from the first such shingle on: before it they have none in common.
     """
     rows = buckets.select("band", "key", "id").join(comp, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("c"))
     mixed = rows.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
@@ -285,9 +286,10 @@ def _rest(buckets: DataFrame, comp: DataFrame, done: DataFrame, sets: DataFrame,
     often = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ranked = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     least = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = lists.select("id", "c", "n").join(ranked, "id").select("id", "c", "n", F.explode(F.slice("ranked", F.lit(1), least.cast("int"))).alias("t"))
-    prefix = materialize(prefix.where("t.df > 1").select("id", "c", "n", F.col("t.token").alias("token")), "prefix")
-    x, y = prefix.toDF("x", "cx", "nx", "token"), prefix.toDF("y", "cy", "ny", "token")
+    prefix = lists.select("id", "c", "n").join(ranked, "id").select("id", "c", "n", F.posexplode(F.slice("ranked", F.lit(1), least.cast("int"))).alias("at", "t"))
+    prefix = materialize(prefix.where("t.df > 1").select("id", "c", F.col("n") - F.col("at"), "n", F.col("t.token").alias("token")), "prefix")
+    x, y = prefix.toDF("x", "cx", "rx", "nx", "token"), prefix.toDF("y", "cy", "ry", "ny", "token")
     near = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (F.col("cx") < F.col("cy"))
+    near &= F.least("rx", "ry") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
     pairs = x.join(y, "token").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
