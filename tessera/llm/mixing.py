@@ -22,7 +22,10 @@ from tessera.llm.common import materialize, narrow
 #: The bounded sample of labelled documents that the classifier is fitted on.
 LABELLED = 6_000
 FEATURES = 1 << 18
-EPOCHS, MEMO = 12, 200_000
+#: Passes over the sample, more of them where it is so small that they would make fewer than UPDATES steps.
+EPOCHS, UPDATES, MEMO = 12, 800, 200_000
+#: Weight of the prior of the classifier's weights, against one document.
+RIDGE = 0.4
 DOMAINS = ("high", "low", "toxic")
 #: Fixed-point steps at most, and the change of the totals, against all tokens, that ends them.
 STEPS, ENOUGH, DAMP = 40, 1e-5, 0.02
@@ -58,7 +61,7 @@ class Domains:
         share = np.bincount(y, minlength=len(self.names)) + 1.0
         self.b[:] = np.log(share / share.sum())
         scale = np.full(FEATURES, 1e-6, np.float32)
-        for epoch in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-UPDATES * 32 // max(len(rows), 1)))):
             order = rng.permutation(len(rows))
             for at in range(0, len(order), 32):
                 part = order[at : at + 32]
@@ -68,7 +71,7 @@ class Domains:
                 who, what = np.repeat(np.arange(len(part)), size), np.concatenate([rows[i] for i in part]).astype(np.int64)
                 used, back = np.unique(what, return_inverse=True)
                 g = np.stack([np.bincount(back, d[who, k], len(used)) for k in range(len(self.names))], 1) / len(part)
-                g += 1e-4 * self.w[used]
+                g += RIDGE / len(rows) * self.w[used]
                 scale[used] += (g**2).sum(1)
                 self.w[used] -= 0.15 * g / np.sqrt(scale[used])[:, None]
                 self.b -= 0.02 * d.mean(0)
