@@ -49,7 +49,9 @@ class Words:
         """
         cut: dict[bytes, bytes] = {}
         whole: set[bytes] = set()
-        for w in words - self.new.keys():
+        for w in words:
+            if w in self.new:
+                continue
             if (b := self.old.get(w)) is not None:
                 self.new[w] = b
                 continue
@@ -60,7 +62,9 @@ class Words:
             else:
                 whole.add(w)
         missing = []
-        for w in whole - self.new.keys():
+        for w in whole:
+            if w in self.new:
+                continue
             if (b := self.old.get(w)) is None:
                 missing.append(w)
             else:
