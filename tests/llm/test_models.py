@@ -66,6 +66,22 @@ def test_scores_of_edges(spark):
     assert lm.score_documents(rows.limit(0), F.lit(True)).count() == 0
 
 
+def test_every_unit_trains_the_mixer(spark, monkeypatch):
+    """Frequent units too reach the mixer, with all their counts and the class of the unit before."""
+    got, train = [], lm.train
+
+    def spy(counts):
+        got.extend(counts.collect())
+        return train(counts)
+
+    monkeypatch.setattr(lm, "train", spy)
+    docs = spark.createDataFrame([(i, "cat dog cat") for i in range(50)] + [(90, "once")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in lm.score_documents(docs, F.lit(True)).collect()}
+    want = Counter({(0, b"cat"): 50, (lm.class_of(b"cat"), b"dog"): 50, (lm.class_of(b"dog"), b"cat" + lm.END): 50, (0, b"once" + lm.END): 1})
+    assert {(r.before, bytes(r.unit)): r.n for r in got} == want
+    assert rows[1].score > rows[90].score and math.isclose(rows[1].bits_per_byte, -rows[1].score * math.log2(10) / 11)
+
+
 def brute_vectors(rows, cosine):
     by = defaultdict(list)
     for i, e, label in rows:
