@@ -8,6 +8,8 @@ under KNOWN_LIMIT rows.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,36 +46,130 @@ _ISC_WARRANTY = (
     "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
     "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
-#: Public licence texts, without their copyright lines.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or "
+    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    "\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+    "software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+    "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+    'under copyright law.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, "
+    "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+    "USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MORE = ("", *(f"\n\nFor more information, please refer to <{x}>" for x in ("https://unlicense.org", "https://unlicense.org/", "http://unlicense.org/", "http://www.unlicense.org/")))
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+    "arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial "
+    "applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be "
+    "misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+    "product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be "
+    "misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution."
+)
+_BSL = (
+    "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining "
+    "a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, "
+    "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do "
+    "so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this "
+    "restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the "
+    "Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language "
+    'processor.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE "
+    "SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = "Permission to use, copy, modify, and{}distribute this software for any purpose with or without fee is hereby granted"
+_KEPT = ", provided that the above copyright notice and this permission notice appear in all copies."
+
+
+def _titled(name: str, titles: tuple[str, ...], *bodies: str) -> list[tuple[str, str]]:
+    """Each body under each title and under none."""
+    return [(name, f"{title}\n\n{body}") for body in bodies for title in (*titles, "")]
+
+
+def _bsd(name: str, titles: tuple[str, ...], clauses: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Clauses with and without numbers, and with and without the line that follows the copyright line."""
+    bodies = []
+    for marks in (("1. ", "2. ", "3. "), ("* ",) * 3):
+        body = "\n\n".join([_BSD[0], *(m + c for m, c in zip(marks, clauses, strict=False)), _BSD[-1]])
+        bodies += [body, "All rights reserved.\n\n" + body]
+    return _titled(name, titles, *bodies)
+
+
+def _files() -> list[tuple[str, str]]:
+    """The long texts, and those with an appendix on how to apply them without it too."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text("utf-8")
+        out.append((path.stem, text))
+        terms, end, appendix = text.partition("END OF TERMS AND CONDITIONS")
+        if appendix.strip():
+            out.append((path.stem, terms + end))
+    return out
+
+
+#: Public licence texts, without their copyright lines; a licence has an entry for each title and form it is found under.
 LICENSES = (
-    (
+    *_titled(
         "MIT",
-        "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
-        'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or "
+        ("The MIT License (MIT)", "The MIT License", "MIT License (MIT)", "MIT License", "MIT"),
+        _MIT + ", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or "
         "substantial portions of the Software.\n\n" + _WARRANTY,
     ),
-    (
-        "ISC",
-        "ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_WARRANTY,
-    ),
-    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_WARRANTY),
-    (
-        "Unlicense",
-        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or "
-        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    ),
+    *_titled("MIT-0", ("MIT No Attribution",), _MIT + ".\n\n" + _WARRANTY),
+    *_titled("ISC", ("The ISC License", "ISC License", "ISC License (ISC)"), *(_ISC.format(x) + _KEPT + "\n\n" + _ISC_WARRANTY for x in ("/or ", " "))),
+    *_titled("0BSD", ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"), _ISC.format("/or ") + ".\n\n" + _ISC_WARRANTY),
+    *_bsd("BSD-2-Clause", ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"), _BSD[1:3]),
+    *_bsd("BSD-3-Clause", ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License"), _BSD[1:4]),
+    *_titled("Unlicense", ("The Unlicense", "Unlicense"), *(_UNLICENSE + x for x in _MORE)),
+    *_titled("Zlib", ("zlib License", "The zlib License", "The zlib/libpng License"), _ZLIB),
+    *_titled("BSL-1.0", ("Boost Software License 1.0",), _BSL),
+    *_files(),
 )
-#: One-line notices.
-NOTICES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+_NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"),
+    "MIT": ("MIT License", "MIT Licence"),
+    "ISC": ("ISC License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPLv2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPLv3"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "Zlib": ("zlib License",),
+    "Unlicense": ("Unlicense",),
+    "CC0-1.0": ("CC0 1.0",),
+    **{f"CC-{x}-{v}": (f"CC {x} {v}",) for x in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("3.0", "4.0")},
+}
+#: One-line notices: the SPDX line of each licence, and its names after the usual openings.
+NOTICES = tuple(
+    (name, line)
+    for name, names in _NAMES.items()
+    for line in (
+        *(f"SPDX-License-Identifier: {name}{x}" for x in (("", "-only", "-or-later") if "GPL" in name else ("",))),
+        *(f"{x} {the}{y}." for x in ("Licensed under", "Released under", "This work is licensed under") for y in names for the in ("the ", "")),
+    )
 )
 
 

@@ -140,3 +140,16 @@ def test_license_texts(spark):
     assert [got[i].license_id for i in (1, 2, 3, 4, 5)] == ["MIT", "MIT", None, None, None]
     assert got[None].notices == "MIT" and got[4].canonical_sha256 == got[5].canonical_sha256
     assert license.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_known_licenses_are_whole(spark):
+    """Whole texts under the titles they are found with; a cut one is not the licence."""
+    mit = next(t for i, t in license.LICENSES if i == "MIT").split("\n\n", 1)[1]
+    bsd = [t for i, t in license.LICENSES if i == "BSD-3-Clause"][-1]
+    whole = [t for i, t in license.LICENSES if i == "Unlicense"][-1]
+    apache, gpl = (dict(license.LICENSES)[i] for i in ("Apache-2.0", "GPL-3.0"))
+    cut = "\n\n".join(whole.strip().split("\n\n")[:2])
+    rows = [mit, "The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + mit, "The Unlicense\n" + whole, cut, "BSD 3-Clause License\n\nCopyright (c) 2020, A\n" + bsd, apache, gpl]
+    got = {r.doc_id: r.license_id for r in license.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(7)] == ["MIT", "MIT", "Unlicense", None, "BSD-3-Clause", "Apache-2.0", "GPL-3.0"]
+    assert dict(license.NOTICES).keys() >= {"MPL-2.0", "BSD-2-Clause", "LGPL-2.1", "CC-BY-4.0"}
