@@ -130,15 +130,16 @@ def memberships(docs: DataFrame, model: Domains) -> DataFrame:
     return narrow(docs, doc_id="long", text="string").mapInArrow(_memberships(model), schema)
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray], most: float) -> np.ndarray:
-    """The rate of each row of posteriors after these steps; all begin at 1."""
-    r = np.ones(len(p))
+def rates(p: np.ndarray, steps: list[np.ndarray], most: float, bounds=None) -> np.ndarray:
+    """The rate of each row of posteriors after these steps; all begin at 1. bounds: a function of p that gives each row's, instead."""
+    low, high = (0.0, most) if bounds is None else bounds(p)
+    r = np.clip(np.ones(len(p)), low, high)
     for g in steps:
-        r = np.clip(r - p @ g, 0.0, most)
+        r = np.clip(r - p @ g, low, high)
     return r
 
 
-def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, float] | None = None, budget: float | None = None, most: float = 8.0, totals: dict[str, float] | None = None) -> list[np.ndarray]:
+def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, float] | None = None, budget: float | None = None, most: float = 8.0, totals: dict[str, float] | None = None, bounds=None) -> list[np.ndarray]:
     """The K-vectors of the steps. targets: shares of `budget` tokens (all tokens there are, if None); totals: tokens, instead."""
     k = len(names)
     at = ["tokens", *(f"p_{n}" for n in names)]
@@ -151,7 +152,7 @@ def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, flo
                 t, *p = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in at)
                 p = np.stack(p, 1)
                 tp = p * t[:, None]
-                first += rates(p, steps, most) @ tp
+                first += rates(p, steps, most, bounds) @ tp
                 if not steps:
                     second += p.T @ tp
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*first, *second.ravel())], names_of_sums)
@@ -206,15 +207,31 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: f
     return members.mapInArrow(run, schema)
 
 
+def _strongest(p: np.ndarray, at: int) -> np.ndarray:
+    """True for rows of posteriors whose strongest domain is that at `at`, alone."""
+    return p[:, at] > np.delete(p, at, 1).max(1)
+
+
 def drop_domain(docs: DataFrame, labels: DataFrame, domain: str = "toxic", share: float = 0.0) -> DataFrame:
-    """docs thinned so that documents of `domain` keep `share` of their tokens and the others theirs: rates are at most 1."""
+    """docs thinned so that documents of `domain` keep `share` of their tokens and the others theirs.
+
+    A document is of the domain that has the largest posterior, of another one than `domain` where that is tied. The targets are
+    the totals at which the others' rates are 1 and its own `share`; the projection bounds rates by these values from below for
+    the others, from above for its own, so that no draw drops one of the others or, at a share of 0, keeps one of its own.
+    """
     model = fit_domains(docs, labels)
+    at = model.names.index(domain)
     members = materialize(memberships(docs, model), "members")
     # What the classifier's doubts give to each domain stays: the totals aimed at are those of the documents of other domains.
-    mine = F.col(f"p_{domain}") >= F.greatest(*[F.col(f"p_{n}") for n in model.names])
+    mine = F.col(f"p_{domain}") > F.greatest(*[F.col(f"p_{n}") for n in model.names if n != domain])
     part = F.when(mine, share).otherwise(1.0) * F.col("tokens")
     goal = members.agg(*[F.sum(part * F.col(f"p_{n}")).alias(n) for n in model.names]).first().asDict()
-    steps = fit_rates(members, model.names, most=1.0, totals={n: x or 0.0 for n, x in goal.items()})
+
+    def bounds(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = _strongest(p, at)
+        return np.where(own, 0.0, 1.0), np.where(own, share, 1.0)
+
+    steps = fit_rates(members, model.names, totals={n: x or 0.0 for n, x in goal.items()}, bounds=bounds)
     predict = _memberships(model)
 
     def run(batches):
@@ -223,7 +240,7 @@ def drop_domain(docs: DataFrame, labels: DataFrame, domain: str = "toxic", share
             keep = []
             for part in predict([pair]):
                 p = np.stack([part.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(model.names))], 1)
-                keep += (_copies(part.column(0).to_pylist(), rates(p, steps, 1.0)) > 0).tolist()
+                keep += (_copies(part.column(0).to_pylist(), rates(p, steps, 1.0, bounds)) > 0).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -215,6 +215,22 @@ def test_toxic_goes_and_clean_stays(spark):
     assert len([i for i in range(400) if i % 4 and i not in kept]) <= 6 and len([i for i in range(0, 400, 4) if i in kept]) <= 6
 
 
+def test_no_draw_against_the_strongest_domain(spark, monkeypatch):
+    """Mixed posteriors: all documents of which toxic is not the strongest domain stay, all others go; ties stay."""
+    words = {"clean": (0.5, 0.06, 0.44), "low": (0.1, 0.5, 0.4), "toxic": (0.4, 0.1, 0.5), "tie": (0.45, 0.1, 0.45)}
+
+    class Fixed(mixing.Domains):
+        def posteriors(self, rows):
+            return np.array([words[name_of[tuple(r)]] for r in rows]).reshape(-1, 3)
+
+    name_of = {tuple(mixing._words(w.encode(), mixing._Memo())[1]): w for w in words}
+    monkeypatch.setattr(mixing, "fit_domains", lambda docs, labels: Fixed())
+    kinds = [list(words)[i % 4] for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, text string")
+    kept = {r.doc_id for r in mixing.drop_domain(docs, docs).collect()}
+    assert kept == {i for i, w in enumerate(kinds) if w != "toxic"}
+
+
 def test_gradients():
     net = langid.BiGRU(["a", "b", "c"], 4)
     net.p = {k: v.astype(float) for k, v in net.p.items()}
