@@ -3,13 +3,16 @@
 A classifier fitted on the labels table gives each document posteriors over domains, p_dk. With t_d tokens and rate r_d, domain
 k is expected to get sum_d r_d t_d p_dk tokens; rates minimise the squared distance of these totals to the targets, by
 projected gradient over all documents. With e = totals - targets, M = sum_d t_d p_d p_d' and distances taken in the norm of
-the inverse of M, the step is r_d <- clip(r_d - p_d . M^-1 e, 0, most). Its Lipschitz constant is 1 by construction. A step
+the inverse of M, the step is r_d <- max(r_d - p_d . M^-1 e, 0). Its Lipschitz constant is 1 by construction. Rates have no upper
+bound unless a caller gives one; what is left between totals and targets is logged. A step
 needs K sums of one pass over a narrow table, and a document's rate follows from its posteriors and the K-vectors of the steps
 so far, so no state is kept for documents between passes, and a lost executor costs the part of one pass.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 import zlib
 
 import numpy as np
@@ -27,7 +30,8 @@ EPOCHS, UPDATES, MEMO = 12, 800, 200_000
 #: Weight of the prior of the classifier's weights, against one document.
 RIDGE = 0.4
 DOMAINS = ("high", "low", "toxic")
-#: Fixed-point steps at most, and the change of the totals, against all tokens, that ends them.
+LOG = logging.getLogger(__name__)
+#: Fixed-point steps at most, and the change of the totals, against all tokens, that ends them. Damping, against M's diagonal.
 STEPS, ENOUGH, DAMP = 40, 1e-5, 0.02
 
 
@@ -139,8 +143,11 @@ def rates(p: np.ndarray, steps: list[np.ndarray], most: float, bounds=None) -> n
     return r
 
 
-def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, float] | None = None, budget: float | None = None, most: float = 8.0, totals: dict[str, float] | None = None, bounds=None) -> list[np.ndarray]:
-    """The K-vectors of the steps. targets: shares of `budget` tokens (all tokens there are, if None); totals: tokens, instead."""
+def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, float] | None = None, budget: float | None = None, most: float = math.inf, totals: dict[str, float] | None = None, bounds=None) -> list[np.ndarray]:
+    """The K-vectors of the steps. targets: shares of `budget` tokens (all tokens there are, if None); totals: tokens, instead.
+
+    The totals reached, the goals and their differences go to the log, as a warning where they miss by over a thousandth of all tokens.
+    """
     k = len(names)
     at = ["tokens", *(f"p_{n}" for n in names)]
     names_of_sums = [f"s{i}" for i in range(k + k * k)]
@@ -170,14 +177,19 @@ def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, flo
     else:
         goal = np.array([targets.get(n, 0.0) for n in names], float)
         goal *= (everything if budget is None else budget) / max(goal.sum(), 1e-12)
-    inverse = np.linalg.inv(m + DAMP * everything * np.eye(k))
+    # Against the diagonal, so that a domain of few tokens gets near its goal in as many steps as a large one.
+    inverse = np.linalg.inv(m + np.diag(DAMP * np.diag(m) + 1e-9 * everything))
     steps: list[np.ndarray] = []
     for _ in range(STEPS):
         steps.append(inverse @ (now - goal))
         new, _ = sums(steps)
-        if np.abs(new - now).max() <= ENOUGH * everything or np.abs(new - goal).max() <= ENOUGH * everything:
-            break
+        done = np.abs(new - now).max() <= ENOUGH * everything or np.abs(new - goal).max() <= ENOUGH * everything
         now = new
+        if done:
+            break
+    level = logging.WARNING if np.abs(now - goal).max() > 1e-3 * everything else logging.INFO
+    for name, got, want in zip(names, now, goal, strict=True):
+        LOG.log(level, "domain %s: %.0f expected tokens, goal %.0f, residual %.0f", name, got, want, got - want)
     return steps
 
 
@@ -187,11 +199,12 @@ def _copies(key: np.ndarray, rate: np.ndarray) -> np.ndarray:
     return np.floor(rate + u).astype(np.int64)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float | None = None, most: float = 8.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float | None = None, most: float = math.inf) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, tokens, p_<domain>..., rate, copies), a row for each input row.
 
     Null, empty and blank texts have no tokens and the posteriors of a text without known words. Null doc_ids and repeated rows
-    stay. Extra columns are ignored; an empty table gives an empty one.
+    stay. Extra columns are ignored; an empty table gives an empty one. Rates are 0 or more, without an upper bound by default
+    (`most`); how far the totals are from the targets is logged.
     """
     model = fit_domains(docs, labels)
     members = materialize(memberships(docs, model), "members")

@@ -205,6 +205,21 @@ def test_feasible_targets_are_met(spark):
     assert mixing.fit_rates(df.limit(0), ("a", "b", "c"), {"a": 1.0}) == []
 
 
+def test_small_domain_meets_a_large_target(spark, caplog):
+    """A domain with under an eighth of its target share needs rates over 8; what can't be met is logged."""
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet([0.9, 0.02], 2000)
+    df = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(rng.integers(1, 900, 2000), p, strict=True)], "tokens long, p_a double, p_b double")
+    rows = df.collect()
+    x, t = np.array([[r.p_a, r.p_b] for r in rows]), np.array([r.tokens for r in rows], float)
+    assert (t @ x / t.sum())[1] < 0.5 / 8
+    steps = mixing.fit_rates(df, ("a", "b"), {"a": 0.5, "b": 0.5})
+    got = mixing.rates(x, steps, math.inf)
+    assert got.max() > 8 and np.allclose((got * t) @ x / t.sum(), [0.5, 0.5], atol=1e-3) and not caplog.records
+    mixing.fit_rates(df, ("a", "b"), {"a": 0.5, "b": 0.5}, most=1.0)
+    assert any("domain b" in r.getMessage() and r.levelname == "WARNING" for r in caplog.records)
+
+
 def test_toxic_goes_and_clean_stays(spark):
     words = ["alpha", "beta", "gamma", "delta"]
     rng = np.random.default_rng(6)
