@@ -16,21 +16,46 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, narrow
 
 #: Changes whenever a rule does, so that blobs scanned under older rules are scanned again.
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 BASE = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: A byte that is a hex digit becomes 1; 32 of these in a row are worth the slower pattern.
 _IS_HEX = bytes(49 if c in b"0123456789abcdef" else 48 for c in range(256))
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----")
+#: What a key without its END line has after the first one: header lines, then lines of base64 alone or long runs of it between
+#: blanks. Line ends may be escaped, as in JSON.
+_BREAK = r"(?:[ \t]*+(?:\r?\n|\\r\\n|\\n)[ \t]*+)"
+_BASE64 = re.compile(
+    rf"(?:{_BREAK}[A-Za-z0-9-]++:[ ][^\n\\]*+)*+"
+    rf"(?:{_BREAK}++[A-Za-z0-9+/]++={{0,2}}(?={_BREAK}|[ \t]*+$)|(?:\s|\\[rn])*+[A-Za-z0-9+/]{{24,}}+={{0,2}}(?:[ \t][A-Za-z0-9+/]++={{1,2}})?)*+",
+    re.A,
+)
+
+
+class _Pem:
+    """A private key from its BEGIN line through the matching END line, to the end of its base64 where that is missing."""
+
+    @staticmethod
+    def spans(text: str) -> list[tuple[int, int]]:
+        out = []
+        for m in _PEM.finditer(text):
+            stop = text.find("-----BEGIN ", m.end())
+            last = f"-----END {m[1]}PRIVATE KEY-----"
+            at = text.find(last, m.end(), stop if stop >= 0 else len(text))
+            out.append((m.start(), at + len(last) if at >= 0 else _BASE64.match(text, m.end()).end()))
+        return out
+
+
 #: Kind, a part that any match contains, pattern.
 MORE = (
-    ("pem", "PRIVATE KEY-----", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
+    ("pem", "PRIVATE KEY-----", _Pem),
     ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", re.A)),
     ("forge", "gh", re.compile(r"\bgh[opsur]_[A-Za-z0-9]{36,}", re.A)),
     ("chat", "xox", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}", re.A)),
     ("bearer", "earer ", re.compile(r"\b[Bb]earer\x20+[A-Za-z0-9._~+/=-]{20,}", re.A)),
-    ("url", "://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:[^\s:/@]{1,100}@", re.A)),
+    ("url", "://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]*+:[^\s:/@]++@", re.A)),
 )
 KINDS = (*BASE, *(k for k, _, _ in MORE))
 _LEDGER = "blob binary, rule_version string, base string, spans string"
@@ -48,7 +73,8 @@ def find(text: str) -> list[tuple[int, int, str, int]]:
         out += [(m.start(), 2, "hex", m.end()) for m in _HEX.finditer(text)]
     for k, (kind, part, pattern) in enumerate(MORE, len(BASE)):
         if part in text:
-            out += [(m.start(), k, kind, m.end()) for m in pattern.finditer(text)]
+            spans = pattern.spans(text) if pattern is _Pem else (m.span() for m in pattern.finditer(text))
+            out += [(s, k, kind, e) for s, e in spans]
     return sorted(out)
 
 

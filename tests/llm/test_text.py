@@ -55,6 +55,24 @@ def test_redaction(spark):
     assert got == {1: ("é <assign> end", 14), 2: ("clean", 5), 3: (None, None)}
 
 
+def test_whole_keys_and_long_credentials(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3+" * 12] * 3 + ["Qx9/Zw=="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    texts = {
+        f"a {begin}\n{body}\n{end} z": "a <pem> z",
+        f"a {begin}\n{head}{body}\n\nafter it": "a <pem>\n\nafter it",
+        f"{begin}\n{body}\n{begin}\n{body}\n{end}": "<pem>\n<pem>",
+        "k " + f"{begin}\n{body}\n{end}\n".replace("\n", "\\n") + "z": "k <pem>\\nz",
+        f"{begin} {body}".replace("\n", " ") + " and more words": "<pem> and more words",
+        "redis://:hunter2@host": "<url>host",
+        f"db://{'u' * 150}:{'p' * 300}@host": "<url>host",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 CHAT = st.lists(st.sampled_from([*"ab \n\\[]/<>|!.sTURNI", "[/TURN]", "\n[/TURN]\n", "[TURN ", "</s>", "[INST]", "<|im_end|>", "\\."]), max_size=12).map("".join)
 
 
