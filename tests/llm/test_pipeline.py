@@ -59,6 +59,14 @@ def test_stages(spark, tables):
     assert len({r.sequence_id for r in five}) <= math.ceil(sum(r.length for r in five) / 4096) + 1
 
 
+def test_rows_that_share_an_id(spark):
+    """Each row that shares an id is kept or not by its own text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a + " more"), (2, c), (3, c), (2, b), (None, a)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in got)) == [(0, a), (1, a), (2, b), (2, c)]
+
+
 def test_run_is_all_stages(spark, tables):
     got = corpus_pipeline.run(spark, tables[0])
     assert got.count() > 0 and "sequence_id" in got.columns
