@@ -5,10 +5,11 @@ keeps its smallest second hash, compressed to a count of leading zeros and ten m
 borrow from a full one by a fixed random sequence, so registers agree with the probability of the Jaccard similarity.
 
 1. Documents with equal sets form a class; only its smallest document goes on (a hot group of copies is one row from here).
-2. Registers, `rows` at a time, are band keys. All that share a key link to one member of the bucket, in rounds with other hubs,
-   so a bucket of n rows costs n candidate pairs, not n squared.
-3. Candidates are taken best first, a few for each document, and only between different components so far. The estimate,
-   corrected for chance agreement of compressed registers, drops what is far below the threshold; full sets confirm the rest.
+2. Registers, `rows` at a time, are band keys. All that share a key are candidates of one member of the bucket, its hub, so a
+   bucket of n rows costs n candidate pairs, not n squared.
+3. Each class ranks its hubs once by the buckets in common. A round takes the next ranks, and only between components that are
+   still different. The estimate, corrected for chance agreement of compressed registers at the sizes of both sets, drops what is
+   far below the threshold; full sets confirm the rest.
 4. What shares a bucket but is still in different components is joined by the rarest shingles of the sets (a prefix filter, which
    is exact), so that no link is lost to the hubs.
 """
@@ -30,8 +31,8 @@ MANTISSA = 10
 MEMO = 200_000
 #: Documents whose ids may be broadcast to pick the texts to confirm; beyond that the texts are joined.
 BROADCAST_IDS = 300_000
-#: Rounds that try the best few candidates of each class; the next one tries all that are left.
-ROUNDS = 4
+#: Ranks of the hubs of a class that each round tries, from and to; the last one tries all that are left.
+RANKS = ((1, 1), (2, 3), (4, 1 << 30))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -110,14 +111,22 @@ def band_keys(reg: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _mix(h).view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from rows of registers, less the agreement that compression makes by chance.
+def chance(n_a: np.ndarray, n_b: np.ndarray, k: int) -> np.ndarray:
+    """Probability that the registers of two buckets agree although their minima differ, for sets of n_a and n_b hashes in k buckets.
 
-    Two unequal minima agree when they share a zero count and ten mantissa bits. Minima of n values in a bucket spread their zero
-    counts geometrically, which makes the chance of one zero count in common about a third; then all mantissas must agree.
+    The minimum of a bucket with a mean of m hashes lies at x with density m * exp(-m * x). A register is a cell of width
+    2 ** -(z + 1 + MANTISSA) among x with z leading zeros, so the cells that both minima meet in sum up level by level.
     """
-    chance = 1 / 3 / 2**MANTISSA
-    return (((a == b).mean(axis=1)) - chance) / (1 - chance)
+    x, y = (np.maximum(np.asarray(n, np.float64) / k, 1) for n in (n_a, n_b))
+    levels = 2.0 ** -np.arange(64)
+    mass = np.exp(-np.multiply.outer(x + y, levels / 2)) - np.exp(-np.multiply.outer(x + y, levels))
+    return (mass * (levels / 2)).sum(-1) * x * y / (x + y) / 2**MANTISSA
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from rows of registers, less the agreement that compression makes by chance."""
+    c = chance(n_a, n_b, a.shape[1])
+    return ((a == b).mean(axis=1) - c) / (1 - c)
 
 
 def _features(size: int, k: int):
@@ -166,7 +175,8 @@ def _likely(least: float):
         for batch in batches:
             if len(batch):
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(len(batch), -1) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(estimate(a, b) >= least))
+                n_a, n_b = (batch.column(i).to_numpy() for i in (4, 5))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(estimate(a, b, n_a, n_b) >= least))
 
     return run
 
@@ -203,31 +213,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     first = F.min(F.struct("doc_id", "row")).alias("m")
     classes = feats.where("sig is not null and doc_id is not null").groupBy("sig").agg(first)
     classes = materialize(classes.select("sig", F.col("m.row").alias("id"), F.col("m.doc_id").alias("rep")), "classes")
-    regs = materialize(feats.select(F.col("row").alias("id"), "regs").join(classes.select("id"), "id"), "registers")
-    buckets = regs.mapInArrow(_bands(bands, rows), "id long, keys array<long>").select("id", F.posexplode("keys").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("h0"), F.max("id").alias("h1"), F.min_by("id", F.xxhash64("id")).alias("h2")).where("n > 1")
+    regs = materialize(feats.select(F.col("row").alias("id"), "n_shingles", "regs").join(classes.select("id"), "id"), "registers")
+    buckets = regs.select("id", "regs").mapInArrow(_bands(bands, rows), "id long, keys array<long>").select("id", F.posexplode("keys").alias("band", "key"))
+    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").drop("n")
     buckets = materialize(buckets.join(shared, ["band", "key"]), "buckets")
-    hubs = buckets.select("id", F.explode(F.array("h0", "h1", "h2")).alias("hub")).where("id <> hub")
-    pairs = materialize(hubs.groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.count("*").alias("hits")), "pairs")
+    hits = buckets.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("hits"))
+    best = Window.partitionBy("b").orderBy(F.desc("hits"), "a")  # at most a row for each band
+    pairs = materialize(hits.select("a", "b", F.row_number().over(best).alias("rank")), "pairs")
     sets = _candidate_sets(docs, classes.join(buckets.select("id").distinct(), "id"), shingle)
-    comp = links = done = None
-    for round_ in range(ROUNDS + 1):
-        left = pairs if done is None else _between(pairs.join(done, ["a", "b"], "left_anti"), comp)
-        if round_ < ROUNDS:
-            best = Window.partitionBy("b").orderBy(F.desc("hits"), "a")
-            left = left.withColumn("k", F.row_number().over(best)).where(F.col("k") <= 4**round_)
-        picked = materialize(left.select("a", "b"), "picked")
+    comp = links = None
+    for low, high in RANKS:
+        some = pairs.where(F.col("rank").between(low, high)).select("a", "b")
+        picked = materialize(some if comp is None else _between(some, comp), "picked")
         if picked.isEmpty():
-            break
+            continue
         new = _verify(picked, regs, sets, percent)
         links = new if links is None else links.union(new)
-        done = picked if done is None else done.union(picked)
         comp = materialize(components(links), "components")
     ids = classes.select("sig", "id", "rep")
     if comp is None:
         to = ids.select("sig", F.col("rep").alias("component_id"))
     else:
-        rest = materialize(_rest(buckets, comp, done, sets, percent), "rest")
+        rest = materialize(_rest(buckets, comp, sets, percent), "rest")
         if not rest.isEmpty():
             comp = materialize(components(links.union(_verify(rest, regs, sets, percent))), "components")
         member = ids.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -255,8 +262,8 @@ def _candidate_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFra
 
 
 def _verify(pairs: DataFrame, inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    k = inside.select("id", "regs")
-    both = pairs.join(k.toDF("a", "ra"), "a").join(k.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
+    k = inside.select("id", "regs", "n_shingles")
+    both = pairs.join(k.toDF("a", "ra", "na"), "a").join(k.toDF("b", "rb", "nb"), "b").select("a", "b", "ra", "rb", "na", "nb")
     likely = materialize(both.mapInArrow(_likely(percent / 100 - 0.15), "a long, b long"), "likely")
     both = likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     out = materialize(both.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
@@ -270,7 +277,7 @@ def _tokens(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "c", "n", "tokens"])
 
 
-def _rest(buckets: DataFrame, comp: DataFrame, done: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components that can still link, among all that share a bucket with another component.
 
     A large group of rather similar texts would have a pair for any two here. So pairs are made by prefixes: with its shingles
@@ -291,5 +298,4 @@ def _rest(buckets: DataFrame, comp: DataFrame, done: DataFrame, sets: DataFrame,
     x, y = prefix.toDF("x", "cx", "rx", "nx", "token"), prefix.toDF("y", "cy", "ry", "ny", "token")
     near = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (F.col("cx") < F.col("cy"))
     near &= F.least("rx", "ry") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
-    pairs = x.join(y, "token").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    return x.join(y, "token").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -8,7 +8,7 @@ from brute import components, near_links, shingles
 from pyspark.sql import functions as F
 
 from tessera.llm import graph
-from tessera.llm.minhash import estimate, near_duplicates, registers
+from tessera.llm.minhash import chance, estimate, near_duplicates, registers
 
 SCHEMA = "doc_id long, text string"
 
@@ -67,10 +67,20 @@ def test_estimates():
         a = np.sort(base)
         b = np.sort(np.concatenate([base[:same], rng.integers(0, 2**63, 400 - same).astype(np.uint64)]))
         true = same / (800 - same)
-        got = np.mean([estimate(registers([a ^ np.uint64(s)], 320), registers([b ^ np.uint64(s)], 320))[0] for s in range(1)])
+        size = np.array([400])
+        got = estimate(registers([a], 320), registers([b], 320), size, size)[0]
         assert abs(got - true) < 0.12
 
 
+def test_chance():
+    """Registers of sets without a common hash agree as often as `chance` says, at equal and at unequal sizes."""
+    rng = np.random.default_rng(1)
+    for n_a, n_b in ((3000, 3000), (20000, 1500)):
+        a, b = (registers([np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(60)], 320) for n in (n_a, n_b))
+        got, want = (a == b).mean(), chance(np.array([n_a]), np.array([n_b]), 320)[0]
+        assert abs(got - want) < 5 * (want / a.size) ** 0.5
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 430)] + [(500, 501 + i) for i in range(40)]
