@@ -1,4 +1,4 @@
-"""op4, op5, op8, op9 and op10 against plain versions, held-out accuracy and gradients."""
+"""op5, op8, op9 and op10 against plain versions, held-out accuracy and gradients."""
 
 import math
 import zlib
@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import embed, langid, lm, mixing, packing
+from tessera.llm import embed, langid, mixing, packing
 from tessera.llm.q_packing import tokenizer_path
 
 DIR = "/root/testdata/sf0.01"
@@ -23,65 +23,6 @@ def table(name):
     return pq.read_table(f"{DIR}/{name}.parquet").to_pylist()
 
 
-def test_base_scores(spark):
-    from tessera.llm.q_lm import op4_lm_scoring
-
-    words = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), b" "] for r in table("documents")}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
-    c = Counter(w for i, ws in words.items() if not held[i] for w in ws)
-    n, v = sum(c.values()), len(c)
-    got = op4_lm_scoring(spark, DIR).collect()
-    assert len(got) == len(words)
-    for r in got:
-        ws = words[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-        assert -1e9 < r.score < 0
-    seen = [r for r in got if not r.held_out]
-    assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
-
-
-def test_model_is_a_distribution(spark):
-    """The bits of all bytes after a context sum to one, and so do the frequent units with the escape."""
-    counts = spark.createDataFrame([(bytearray(w), 3) for w in (b"abc", b"abd", b"xyz\n", b"abc" + lm.END)], "unit binary, n long")
-    mixer = lm.train(counts)
-    total = sum(math.exp(x) for x in mixer.costs([bytes([i]) + lm.END for i in range(255) if bytes([i]) not in lm._SPACES]))
-    assert 0 < total <= 1 + 1e-6
-    places = spark.sparkContext.broadcast({b"a": 0, b"b" + lm.END: 1})
-    after = lm.follow(spark.createDataFrame([("a c b",), ("a b",)], "text string"), places)
-    assert np.allclose(np.exp(after).sum(1), 1, atol=1e-4)
-
-
-def test_units():
-    assert lm.units(b"A b\n c") == [b"a", b"b\n", b"", b"c" + lm.END] and lm.units(None) == [lm.END]
-    slots, bits, who = lm._slots([b"ab", b"ab\n"])
-    assert (slots[:2] == slots[3:5]).all() and bits.shape == (6, 8) and who.tolist() == [0, 0, 0, 1, 1, 1]
-
-
-def test_scores_of_edges(spark):
-    rows = spark.createDataFrame([(1, None), (2, ""), (None, "a a"), (3, "a b"), (3, "a b")], "doc_id long, text string")
-    got = {(r.doc_id, r.n_tokens): r for r in lm.score_documents(rows, F.col("doc_id") == 3).collect()}
-    assert got[(1, 1)].score == got[(2, 1)].score and got[(3, 3)].n_known == 3 and got[(None, 3)].n_known == 3
-    assert lm.score_documents(rows, F.lit(False)).where("n_known > 0").count() == 0
-    assert lm.score_documents(rows.limit(0), F.lit(True)).count() == 0
-
-
-def test_every_unit_trains_the_mixer(spark, monkeypatch):
-    """Frequent units too reach the mixer, with all their counts and the class of the unit before."""
-    got, train = [], lm.train
-
-    def spy(counts):
-        got.extend(counts.collect())
-        return train(counts)
-
-    monkeypatch.setattr(lm, "train", spy)
-    docs = spark.createDataFrame([(i, "cat dog cat") for i in range(50)] + [(90, "once")], "doc_id long, text string")
-    rows = {r.doc_id: r for r in lm.score_documents(docs, F.lit(True)).collect()}
-    want = Counter({(0, b"cat"): 50, (lm.class_of(b"cat"), b"dog"): 50, (lm.class_of(b"dog"), b"cat" + lm.END): 50, (0, b"once" + lm.END): 1})
-    assert {(r.before, bytes(r.unit)): r.n for r in got} == want
-    assert rows[1].score > rows[90].score and math.isclose(rows[1].bits_per_byte, -rows[1].score * math.log2(10) / 11)
-
-
 def brute_vectors(rows, cosine):
     by = defaultdict(list)
     for i, e, label in rows:
