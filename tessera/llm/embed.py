@@ -2,9 +2,10 @@
 
 Each half of a unit vector has a codebook of its own; the two nearest words name a cell of the product grid, and every vector is
 indexed in one cell. A query visits cells in the order of its multi-sequence traversal (distance to the word of the first half
-plus that of the second) until the target recall: as many cells as found, in calibration, the cell of a vector at exactly the
-wanted cosine. What lies in the visited cells is verified in double precision. Codebooks and calibration use a bounded sample;
-all vectors are indexed, and all are queries.
+plus that of the second) until the target recall: as many cells as found, in calibration, the cells of the sample's true
+neighbours and of vectors moved away to exactly the wanted cosine. What lies in the visited cells is verified in double precision,
+and a link that one end alone finds counts for both. Codebooks and calibration use a bounded sample; all vectors are indexed, and
+all are queries. Codebooks grow with the root of the number of vectors, so that a cell keeps about CELL of them.
 
 Equal vectors of a label form a class first, so a hot vector is one row. Cells are dealt into shards of about SHARD members, a
 hot cell into several; queries go once to each shard that holds a cell they visit, in blocks, and links leave a shard as counts
@@ -23,9 +24,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, narrow
 from tessera.llm.graph import components
+from tessera.llm.sharing import join_by_key
 
 #: Vectors that codebooks and calibration are fitted on, at most.
 SAMPLE = 20_000
+#: Sample vectors that calibration takes as queries; vectors in a cell, if all cells had as many; sample vectors a codeword, at least.
+QUERIES, CELL, FITTED = 4_000, 64, 4
 #: Index members and queries that meet in one task, about.
 SHARD, PROBES = 4_096, 32_768
 _BLOCK = 1_024
@@ -53,15 +57,44 @@ class MultiIndex:
         self.half = sample.shape[1] // 2
         self.books = [_codebook(sample[:, : self.half], words, rng), _codebook(sample[:, self.half :], words, rng)]
         self.words = words
-        x = sample[rng.choice(len(sample), min(len(sample), 4000), replace=False)]
-        z = rng.normal(size=x.shape)
-        z -= (z * x).sum(1, keepdims=True) * x
-        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-        y = cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * z
-        self.visits = words * words
-        home, order = self.home(x), self.order(y)
-        rank = (order == home[:, None]).argmax(1)
-        self.visits = min(words * words, int(np.quantile(rank, recall)) + 2) if len(rank) else words * words
+        at = rng.choice(len(sample), min(len(sample), QUERIES), replace=False)
+        need = [self._rank(*pair) for pair in self._neighbours(sample, at, cosine, rng)]
+        self.visits = min(words * words, max((int(np.quantile(r, recall, method="higher")) for r in need if len(r)), default=words * words) + 2)
+
+    @staticmethod
+    def _neighbours(sample: np.ndarray, at: np.ndarray, cosine: float, rng: np.random.Generator):
+        """Pairs of queries and neighbours: made ones, the nearest that need be found, in even directions and in those in which
+        sample vectors differ, and all true ones of the sample, a few for each query."""
+        x = sample[at]
+        other = sample[rng.permutation(len(sample))[: len(x)]] - sample[rng.permutation(len(sample))[: len(x)]]
+        for z in (rng.normal(size=x.shape), other):
+            z = z - (z * x).sum(1, keepdims=True) * x
+            size = np.linalg.norm(z, axis=1, keepdims=True)
+            some = size[:, 0] > 1e-9
+            z = z[some] / size[some]
+            yield x[some], cosine * x[some] + math.sqrt(max(0.0, 1 - cosine**2)) * z
+        true: list[tuple[int, int]] = []
+        for low in range(0, len(at), 500):
+            near = sample[at[low : low + 500]] @ sample.T
+            for i, row in enumerate(near):
+                own = np.flatnonzero((row >= cosine) & (row < 1 - 1e-9))
+                true += [(low + i, j) for j in own[np.argsort(row[own])][:20]]
+        if true:
+            i, j = np.array(true).T
+            yield x[i], sample[j]
+
+    def _rank(self, queries: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
+        """How many cells each query visits before that of its neighbour: those that cost less."""
+        out = []
+        for low in range(0, len(queries), 500):
+            x, y = (v[low : low + 500] for v in (queries, neighbours))
+            first, second = _squares(x[:, : self.half], self.books[0]), _squares(x[:, self.half :], self.books[1])
+            one, two = np.divmod(self.home(y), self.words)
+            at = np.arange(len(x))
+            cost = first[at, one] + second[at, two]
+            second.sort(1)
+            out += [int(np.searchsorted(second[i], cost[i] - first[i]).sum()) for i in at]
+        return np.array(out, int)
 
     def home(self, x: np.ndarray) -> np.ndarray:
         return _squares(x[:, : self.half], self.books[0]).argmin(1) * self.words + _squares(x[:, self.half :], self.books[1]).argmin(1)
@@ -104,13 +137,14 @@ def _forest(ids_a: np.ndarray, ids_b: np.ndarray, hit: np.ndarray) -> list[tuple
 def _meet(cosine: float):
     def run(members: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
         links: list[tuple[int, int]] = []
-        count = np.zeros(len(probes), np.int64)
+        count, back = np.zeros(len(probes), np.int64), np.zeros(len(members), np.int64)
         if len(members) and len(probes):
             unit = lambda c: (x := np.stack(c.to_numpy()).astype(np.float64)) / np.linalg.norm(x, axis=1, keepdims=True)
             m, q = unit(members["vec"]), unit(probes["q_vec"])
-            m_id, q_id, size = members["id"].to_numpy(), probes["q_id"].to_numpy(), members["size"].to_numpy()
-            where = np.concatenate(probes["cells"].to_numpy())
-            who = np.repeat(np.arange(len(probes)), [len(c) for c in probes["cells"]])
+            m_id, q_id, size, q_size = members["id"].to_numpy(), probes["q_id"].to_numpy(), members["size"].to_numpy(), probes["q_size"].to_numpy()
+            visited, home = np.stack(members["cells"].to_numpy()), probes["q_home"].to_numpy()
+            where = np.concatenate(probes["q_cells"].to_numpy())
+            who = np.repeat(np.arange(len(probes)), [len(c) for c in probes["q_cells"]])
             by = np.argsort(where, kind="stable")
             where, who = where[by], who[by]
             cell = members["cell"].to_numpy()
@@ -123,11 +157,16 @@ def _meet(cosine: float):
                         hit = (q[v] @ m[o].T) >= cosine
                         hit &= q_id[v][:, None] != m_id[o][None]
                         if hit.any():
-                            np.add.at(count, v, hit @ size[o])
+                            count[v] += hit @ size[o]  # a probe comes once for a cell
                             links += _forest(q_id[v], m_id[o], hit)
-        some = np.flatnonzero(count)
+                            # The members that don't visit the query's cell won't find this link themselves.
+                            rows = np.flatnonzero(hit.any(1))
+                            homes, at = np.unique(home[v[rows]], return_inverse=True)
+                            blind = np.stack([(visited[o] != h).all(1) for h in homes])
+                            back[o] += q_size[v[rows]] @ (hit[rows] & blind[at])
+        ids = [*probes["q_id"].to_numpy()[(some := np.flatnonzero(count))], *members["id"].to_numpy()[(more := np.flatnonzero(back))]]
         a, b = zip(*{(min(x), max(x)) for x in links if x[0] != x[1]}, strict=True) if any(x[0] != x[1] for x in links) else ((), ())
-        return pd.DataFrame({"a": [*probes["q_id"].to_numpy()[some], *a], "b": pd.array([None] * len(some) + list(b), "Int64"), "n": [*count[some], *[0] * len(a)]}).astype({"a": "int64", "n": "int64"})
+        return pd.DataFrame({"a": [*ids, *a], "b": pd.array([None] * len(ids) + list(b), "Int64"), "n": [*count[some], *back[more], *[0] * len(a)]}).astype({"a": "int64", "n": "int64"})
 
     return run
 
@@ -140,33 +179,37 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, recall: flo
     component_id: the smallest vec_id reachable, itself included. Null vec_ids give null, kept false. Rows that repeat a vec_id
     are vectors of their own. Extra columns are ignored; an empty table gives an empty one.
     """
-    rows = narrow(vectors, vec_id="long", embedding="array<double>", label="long")
+    rows = narrow(vectors, vec_id="long", embedding="array<double>", label="string")
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     good &= ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    valid = rows.where(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
+    good = F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull()
+    # Equal vectors of a label share a key of 128 bits, so that vectors themselves are grouped and joined by it alone.
+    plain = F.transform("embedding", lambda x: x + 0.0)
+    key = F.concat(F.hex(F.xxhash64("label", plain)), F.lit("."), F.hex(F.xxhash64(F.lit(1), plain, "label"))).cast("binary")
     # Scaled by the largest component first: squares of very large or small ones would not fit a double.
     top = F.array_max(F.transform("embedding", F.abs))
-    classes = valid.groupBy("label", F.transform("embedding", lambda x: x + 0.0).alias("embedding")).agg(F.count("*").alias("size"), F.min("vec_id").alias("rep"))
+    classes = rows.where(good).select("vec_id", "label", plain.alias("embedding"), key.alias("key"))
+    classes = classes.groupBy("key").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("size"), F.min("vec_id").alias("rep"))
     classes = classes.withColumn("id", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding"))
-    classes = materialize(classes.withColumn("vec", F.transform("embedding", lambda x: x / top)), "classes")
+    classes = materialize(classes.withColumn("vec", F.transform("embedding", lambda x: x / top)).drop("embedding"), "classes")
     per_class = None
     for (dim,) in sorted(classes.select("dim").distinct().collect()):
-        own = classes.where(F.col("dim") == dim)
-        found = _links_of(own, dim, cosine, recall, shard)
+        found = _links_of(classes.where(F.col("dim") == dim), dim, cosine, recall, shard)
         per_class = found if per_class is None else per_class.unionByName(found)
-    keys = classes.select("id", "label", "embedding", "rep", "size")
+    keys = classes.select("key", "id", "rep", "size")
     if per_class is not None:
         found = materialize(per_class, "links")
-        n = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+        n = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
         comp = components(found.where("b is not null").select("a", "b"))
         keys = keys.join(n, "id", "left").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
         keys = keys.join(keys.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
-        keys = keys.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
+        keys = keys.select("key", F.col("size").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
     else:
-        keys = keys.select("label", "embedding", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
-    marked = rows.withColumn("embedding", F.when(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull(), F.transform("embedding", lambda x: x + 0.0)))
-    out = marked.join(keys, ["label", "embedding"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        keys = keys.select("key", F.col("size").alias("n"), F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
+    total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    marked = rows.select("vec_id", F.when(good, key).alias("key")).withColumn("row", F.monotonically_increasing_id())
+    lone = marked.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = join_by_key(marked.where("key is not null"), keys, "key", total).select("vec_id", "n_links", "component_id").union(lone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -177,7 +220,7 @@ def _links_of(own: DataFrame, dim: int, cosine: float, recall: float, shard: int
     picked = own.orderBy(F.xxhash64("id", F.lit(3))).limit(SAMPLE).select("vec").collect()
     sample = np.array([r.vec for r in picked])
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    words = max(1, min(256, len(sample), round((total / 64) ** 0.5)))
+    words = max(1, min(len(sample) // FITTED, round((total / CELL) ** 0.5)))
     index = MultiIndex(sample, words, cosine, recall)
     cells = max(1, math.ceil(shard * labels * words * words / total))
     book = spark.sparkContext.broadcast(index)
@@ -191,12 +234,12 @@ def _links_of(own: DataFrame, dim: int, cosine: float, recall: float, shard: int
                 cols = [part.column(part.schema.get_field_index(c)) for c in ("id", "label", "size", "vec")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(mi.home(x), pa.int64()), pa.array(mi.order(x).tolist(), pa.list_(pa.int64()))], ["id", "label", "size", "vec", "cell", "cells"])
 
-    placed = own.select("id", "label", "size", "vec").mapInArrow(place, "id long, label long, size long, vec array<double>, cell long, cells array<long>")
+    placed = own.select("id", "label", "size", "vec").mapInArrow(place, "id long, label string, size long, vec array<double>, cell long, cells array<long>")
     placed = materialize(placed, "placed")
     # Members: the shard of their cell, split in `parts` where it holds many. Queries: every shard and part with a visited cell.
-    members = placed.select("id", "label", "size", "vec", "cell", F.floor(F.col("cell") / cells).cast("long").alias("shard"))
+    members = placed.select("id", "label", "size", "vec", "cell", "cells", F.floor(F.col("cell") / cells).cast("long").alias("shard"))
     load = members.groupBy("label", "shard").agg(F.count("*").alias("load"))
-    asks = placed.select("id", "label", "vec", F.explode(F.array_distinct(F.transform("cells", lambda c: F.floor(c / cells).cast("long")))).alias("shard"), "cells")
+    asks = placed.select("id", "label", "size", "vec", "cell", F.explode(F.array_distinct(F.transform("cells", lambda c: F.floor(c / cells).cast("long")))).alias("shard"), "cells")
     asks = asks.withColumn("cells", F.filter("cells", lambda c: F.floor(c / cells).cast("long") == F.col("shard")))
     asked = asks.groupBy("label", "shard").agg(F.count("*").alias("asked"))
     plan = load.join(asked, ["label", "shard"]).select("label", "shard", F.ceil(F.col("load") / (2 * shard)).cast("int").alias("m"), F.ceil(F.col("asked") / PROBES).cast("int").alias("p"))
@@ -204,6 +247,8 @@ def _links_of(own: DataFrame, dim: int, cosine: float, recall: float, shard: int
     left = members.join(plan, ["label", "shard"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("m"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     right = asks.join(plan, ["label", "shard"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("p")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     key = ["label", "shard", "part", "block"]
-    left = left.select(*[F.col(c).cast("long") for c in key], "id", "size", "vec", "cell")
-    right = right.select(*[F.col(c).cast("long").alias(f"q_{c}") for c in key], F.col("id").alias("q_id"), F.col("vec").alias("q_vec"), "cells")
+    of = lambda c: F.col(c) if c == "label" else F.col(c).cast("long")
+    left = left.select(*map(of, key), "id", "size", "vec", "cell", "cells")
+    asked = {"q_id": "id", "q_size": "size", "q_vec": "vec", "q_home": "cell", "q_cells": "cells"}
+    right = right.select(*[of(c).alias(f"q_{c}") for c in key], *[F.col(c).alias(name) for name, c in asked.items()])
     return left.groupBy(key).cogroup(right.groupBy([f"q_{c}" for c in key])).applyInPandas(_meet(cosine), "a long, b long, n long")

@@ -1,11 +1,11 @@
 """Media columns: payloads in tar shards, addressed by content; rows carry digest, offset and length.
 
 A payload is stored as a grey PNG of 8-bit samples, 64 wide. Every distinct payload is stored once, in a tar shard of the shared
-folder, under its SHA-256; the manifest says where. Metadata columns come from range reads of the 33 header bytes, features
-from range reads of one member. A payload that only one document has is written by the task that reads the document; only
-those that several may have are shuffled. A filter of fixed size, made of all digests that occur more than once, tells them
-apart: it errs only towards the shuffle. Writers are tasks: a task that is run again writes new shards and only those it returns count,
-so a lost executor leaves at most files that no manifest names.
+folder, under its SHA-256; the manifest says where. Metadata columns are filled by range reads of the 33 header bytes alone,
+features by range reads of one member; both are dealt by stripes of shards. A payload that only one document has is written by
+the task that reads the document; only those that several may have are shuffled. A filter of all digests that occur more than
+once tells them apart: it errs only towards the shuffle. Writers are tasks: a task that is run again writes new shards and only
+those it returns count, so a lost executor leaves at most files that no manifest names.
 """
 
 from __future__ import annotations
@@ -23,14 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, narrow, scratch_path
+from tessera.llm.sharing import digest_filter, join_by_key
 
 WIDTH = 64
 SHARD_BYTES = 256 << 20
 HEADER = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _LEVEL = 6
-#: 8 MB, whatever the number of digests.
-FILTER_BITS, FILTER_CHUNKS = 1 << 26, 128
+#: Bytes of a shard that one task reads at least, where they are that many.
+STRIPE = 256 << 10
+#: Shared payloads that a writer remembers to have handed on; beyond that it may hand one on again.
+GIVEN = 100_000
 
 
 def payload_of(text: bytes) -> bytes:
@@ -79,42 +82,6 @@ def digest_of(text: Column | str) -> Column:
     return F.unhex(F.sha2(F.concat(text, F.repeat(F.lit("\0"), pad)), 256))
 
 
-def _places(digests: list[bytes]) -> np.ndarray:
-    """Four filter bits for each digest."""
-    return np.frombuffer(b"".join(digests), "<u8").reshape(-1, 4) % np.uint64(FILTER_BITS)
-
-
-def _marks(batches):
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for batch in batches:
-        if len(batch):
-            at = _places(batch.column(0).to_pylist()).ravel()
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-    for i, chunk in enumerate(bits.reshape(FILTER_CHUNKS, -1)):
-        if chunk.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([chunk.tobytes()], pa.binary())], ["chunk", "bits"])
-
-
-def _any(batches):
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            b = np.frombuffer(b, np.uint8)
-            held[i] = held[i] | b if i in held else b
-    for i, b in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([b.tobytes()], pa.binary())], ["chunk", "bits"])
-
-
-def shared_filter(docs: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits that are set for every digest which occurs more than once."""
-    often = docs.select(digest_of("text").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    chunks = often.mapInArrow(_marks, "chunk int, bits binary").repartition(FILTER_CHUNKS, "chunk").mapInArrow(_any, "chunk int, bits binary")
-    out = np.zeros((FILTER_CHUNKS, FILTER_BITS // 8 // FILTER_CHUNKS), np.uint8)
-    for r in chunks.toLocalIterator():
-        out[r.chunk] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out.ravel()
-
-
 class _Shards:
     """Tar shards that one task writes."""
 
@@ -158,19 +125,19 @@ def _encode(store: str, bits):
     """Payloads that may be shared come out with their media, without a place; the others are in a shard."""
 
     def run(batches):
-        shards, seen, shared = _Shards(store), set(), bits.value
+        shards, given, shared = _Shards(store), set(), bits.value
         for batch in batches:
             for at in range(0, len(batch), 256):
                 payloads = [payload_of(t or b"") for t in batch.column(0).slice(at, 256).cast(pa.binary()).to_pylist()]
                 keys = [hashlib.sha256(p).digest() for p in payloads]
-                places = _places(keys)
-                maybe = ((shared[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype(np.uint8)) & 1).all(1)
                 rows = []
-                for key, p, m in zip(keys, payloads, maybe, strict=True):
-                    if not m:
+                for key, p, maybe in zip(keys, payloads, shared.contains(keys), strict=True):
+                    if not maybe:
                         rows.append((*shards.add(key, to_png(p)), None))
-                    elif key not in seen:  # copies in one partition go no further
-                        seen.add(key)
+                    elif key not in given:  # copies in one partition go no further
+                        if len(given) >= GIVEN:
+                            given.clear()
+                        given.add(key)
                         rows.append((key, None, None, None, to_png(p)))
                 if rows:
                     yield _placed(rows)
@@ -180,13 +147,15 @@ def _encode(store: str, bits):
 
 
 def _write(store: str):
+    """Writes each payload of a stream that is sorted by digest once."""
+
     def run(batches):
-        shards, seen = _Shards(store), set()
+        shards, last = _Shards(store), None
         for batch in batches:
             rows = []
             for key, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key not in seen:
-                    seen.add(key)
+                if key != last:
+                    last = key
                     rows.append((*shards.add(key, media), None))
             if rows:
                 yield _placed(rows)
@@ -196,93 +165,102 @@ def _write(store: str):
 
 
 def store_texts(docs: DataFrame, store: str) -> DataFrame:
-    """Stores each distinct payload of docs(text) once and returns the manifest (digest, shard, offset, length)."""
+    """Stores each distinct payload of docs(text) once and returns the manifest (digest, n, shard, offset, length); n: how many rows
+    have it."""
     docs = narrow(docs, text="string")
-    bits = docs.sparkSession.sparkContext.broadcast(shared_filter(docs))
-    first = materialize(docs.mapInArrow(_encode(store, bits), _PLACED), "placed")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = first.where("shard is null").select("digest", "media").repartition(n, "digest").mapInArrow(_write(store), _PLACED)
-    return materialize(first.where("shard is not null").unionByName(shared).drop("media"), "manifest")
+    digests = materialize(docs.groupBy(digest_of("text").alias("digest")).agg(F.count("*").alias("n")), "digests")
+    often = docs.sparkSession.sparkContext.broadcast(digest_filter(digests.where("n > 1").select("digest")))
+    first = materialize(docs.mapInArrow(_encode(store, often), _PLACED), "placed")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = first.where("shard is null").select("digest", "media").repartition(parts, "digest").sortWithinPartitions("digest").mapInArrow(_write(store), _PLACED)
+    placed = first.where("shard is not null").unionByName(shared).drop("media")
+    return materialize(placed.join(digests, "digest"), "manifest")
 
 
-def _ranges(store: str, batches, size: int | None):
-    """The bytes of each member, or its first `size`, by range reads."""
+def _ranges(store: str, part: pa.RecordBatch, files: dict, size: int | None):
+    """The bytes of each member, or its first `size`, by range reads. files: those that stay open, one at a time."""
     from pyarrow import fs
 
-    system, root = fs.FileSystem.from_uri(store)
-    name, file = None, None
-    for batch in batches:
-        digest, shard, offset, length = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("digest", "shard", "offset", "length"))
-        for d, s, o, n in zip(digest, shard, offset, length, strict=True):
-            if s != name:
-                if file is not None:
-                    file.close()
-                name, file = s, system.open_input_file(f"{root}/{s}")
-            file.seek(o)
-            yield d, n, file.read(min(n, size or n))
-    if file is not None:
-        file.close()
+    for shard, offset, length in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("shard", "offset", "length")), strict=True):
+        if shard not in files:
+            for f in files.values():
+                f.close()
+            files.clear()
+            system, root = fs.FileSystem.from_uri(store)
+            files[shard] = system.open_input_file(f"{root}/{shard}")
+        files[shard].seek(offset)
+        yield files[shard].read(min(length, size or length))
 
 
-def _in_hundreds(rows, kinds, names):
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) == 500:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+def _adding(store: str, size: int | None, compute, fields: list[tuple]):
+    """Adds to each row the fields that compute() makes of its member's bytes."""
 
+    def run(batches):
+        files: dict = {}
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                rows = [compute(data) for data in _ranges(store, part, files, size)]
+                more = [pa.array(c, kind) for c, (_, kind, _) in zip(zip(*rows, strict=True), fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *(name for name, _, _ in fields)])
+        for f in files.values():
+            f.close()
 
-def _by_shard(manifest: DataFrame) -> DataFrame:
-    return manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "offset")
+    return run
 
 
-def read_headers(manifest: DataFrame, store: str) -> DataFrame:
-    """Metadata columns (digest, width, height, depth), from HEADER bytes of each member."""
+def _with(rows: DataFrame, run, fields: list[tuple]) -> DataFrame:
+    own = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema]
+    return rows.mapInArrow(run, ", ".join([*own, *(f"{name} {kind}" for name, _, kind in fields)]))
 
-    def run(batches):
-        rows = ((d, *header(first)) for d, _, first in _ranges(store, batches, HEADER))
-        yield from _in_hundreds(rows, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), ["digest", "width", "height", "depth"])
 
-    return _by_shard(manifest).mapInArrow(run, "digest binary, width long, height long, depth long")
+_META = [(n, pa.int64(), "long") for n in ("width", "height", "depth")]
+_FEATURES = [("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long"), ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string")]
 
 
-def read_features(manifest: DataFrame, store: str) -> DataFrame:
-    """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), computed from the stored bytes.
+def by_stripe(manifest: DataFrame) -> DataFrame:
+    """The manifest dealt by stripes of its shards, in the order of their bytes."""
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.repartition(parts, "shard", F.floor(F.col("offset") / STRIPE)).sortWithinPartitions("shard", "offset")
 
-    feature: mean, deviation and the eight sixteenth-octave counts of the samples, and the share of zero samples.
-    """
 
-    def rows(batches):
-        for d, n, data in _ranges(store, batches, None):
-            width, height, depth = header(data[:HEADER])
-            p = from_png(data)
-            x = np.frombuffer(p, np.uint8)
-            bands = ",".join(map(str, np.bincount(x >> 5, minlength=8).tolist()))
-            feature = f"png:{width}x{height}x{depth};mean={x.mean():.4f};std={x.std():.4f};zeros={int((x == 0).sum())};bands={bands}"
-            yield d, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), n, hashlib.sha256(data).hexdigest(), feature
+def read_headers(rows: DataFrame, store: str) -> DataFrame:
+    """rows(shard, offset, length, ...) with the metadata columns width, height and depth, from HEADER bytes of each member."""
+    return _with(rows, _adding(store, HEADER, header, _META), _META)
 
-    def run(batches):
-        kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield from _in_hundreds(rows(batches), kinds, ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return _by_shard(manifest).mapInArrow(run, "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def read_features(rows: DataFrame, store: str) -> DataFrame:
+    """rows(shard, offset, length, ...) with payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature,
+    computed from the stored bytes.
+
+    feature: size and depth, mean, deviation and the counts of the samples in eight bands, and the number of zero samples.
+    """
+
+    def compute(data: bytes) -> tuple:
+        width, height, depth = header(data[:HEADER])
+        p = from_png(data)
+        x = np.frombuffer(p, np.uint8)
+        bands = ",".join(map(str, np.bincount(x >> 5, minlength=8).tolist()))
+        feature = f"png:{width}x{height}x{depth};mean={x.mean():.4f};std={x.std():.4f};zeros={int((x == 0).sum())};bands={bands}"
+        return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature
+
+    return _with(rows, _adding(store, None, compute, _FEATURES), _FEATURES)
 
 
 def media_columns(docs: DataFrame, store: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> (a row for each input row with the features of its payload, the manifest).
+    """docs(doc_id, text) -> (a row for each input row with its payload's place, metadata and features, the manifest).
 
     Null and empty texts have the payload of 64 zero bytes. Null doc_ids stay, repeated rows come back each, equal texts get
     equal values. Extra columns are ignored; an empty table gives empty ones.
     """
     store = store or scratch_path(docs.sparkSession, "media")
     manifest = store_texts(docs, store)
+    found = materialize(read_features(read_headers(by_stripe(manifest), store), store), "media")
     rows = narrow(docs, doc_id="long", text="string")
     rows = rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), digest_of("text").alias("digest"))
-    out = rows.join(read_features(manifest, store), "digest", "left")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), manifest
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    out = join_by_key(rows, found, "digest", found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return out.select("doc_id", "n_bytes", *[n for n, _, _ in _FEATURES], F.lower(F.hex("digest")).alias("digest"), "shard", "offset", "length", "width", "height", "depth"), manifest
 
 
 def tar_members(data: bytes) -> dict[str, bytes]:

@@ -231,29 +231,42 @@ def drop_domain(docs: DataFrame, labels: DataFrame, domain: str = "toxic", share
     A document is of the domain that has the largest posterior, of another one than `domain` where that is tied. The targets are
     the totals at which the others' rates are 1 and its own `share`; the projection bounds rates by these values from below for
     the others, from above for its own, so that no draw drops one of the others or, at a share of 0, keeps one of its own.
+    Null, empty and blank texts have no tokens and the posteriors of a text without known words. Rows that repeat go or stay
+    together; an empty table gives an empty one; extra columns come through, whatever their names.
     """
     model = fit_domains(docs, labels)
     at = model.names.index(domain)
-    members = materialize(memberships(docs, model), "members")
+    k = len(model.names)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = docs.columns.index("text")
+    predict = _memberships(model)
+
+    def mark(batches):
+        for batch in batches:
+            for low in range(0, len(batch), 500):
+                part = batch.slice(low, 500)
+                (got,) = predict([pa.RecordBatch.from_arrays([part.column(text), part.column(text)], ["doc_id", "text"])])
+                yield pa.RecordBatch.from_arrays([*part.columns, *got.columns[1:]], [*part.schema.names, *got.schema.names[1:]])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", tokens long, " + ", ".join(f"p_{n} double" for n in model.names)
+    marked = materialize(plain.mapInArrow(mark, schema), "members")  # one pass of the classifier; all others read numbers alone
     # What the classifier's doubts give to each domain stays: the totals aimed at are those of the documents of other domains.
     mine = F.col(f"p_{domain}") > F.greatest(*[F.col(f"p_{n}") for n in model.names if n != domain])
     part = F.when(mine, share).otherwise(1.0) * F.col("tokens")
-    goal = members.agg(*[F.sum(part * F.col(f"p_{n}")).alias(n) for n in model.names]).first().asDict()
+    goal = marked.agg(*[F.sum(part * F.col(f"p_{n}")).alias(n) for n in model.names]).first().asDict()
 
     def bounds(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = _strongest(p, at)
         return np.where(own, 0.0, 1.0), np.where(own, share, 1.0)
 
-    steps = fit_rates(members, model.names, totals={n: x or 0.0 for n, x in goal.items()}, bounds=bounds)
-    predict = _memberships(model)
+    steps = fit_rates(marked, model.names, totals={n: x or 0.0 for n, x in goal.items()}, bounds=bounds)
+    key = docs.columns.index("doc_id")
 
-    def run(batches):
+    def keep(batches):
         for batch in batches:
-            pair = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("text")).cast(pa.string())], ["doc_id", "text"])
-            keep = []
-            for part in predict([pair]):
-                p = np.stack([part.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(model.names))], 1)
-                keep += (_copies(part.column(0).to_pylist(), rates(p, steps, 1.0, bounds)) > 0).tolist()
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            p = np.stack([batch.column(len(docs_columns) + 1 + i).to_numpy(zero_copy_only=False) for i in range(k)], 1)
+            kept = _copies(batch.column(key).to_pylist(), rates(p, steps, 1.0, bounds)) > 0
+            yield batch.filter(pa.array(kept)).select(list(range(len(docs_columns))))
+
+    docs_columns = list(docs.columns)
+    return marked.mapInArrow(keep, plain.schema).toDF(*docs_columns)

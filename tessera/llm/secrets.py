@@ -7,6 +7,7 @@ blobs back to every document. Base rules are fixed by contract; the others add s
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, narrow
+from tessera.llm.sharing import DigestFilter, digest_filter, join_by_key
 
 #: Changes whenever a rule does, so that blobs scanned under older rules are scanned again.
 RULE_VERSION = "3"
@@ -58,6 +60,8 @@ MORE = (
     ("url", "://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]*+:[^\s:/@]++@", re.A)),
 )
 KINDS = (*BASE, *(k for k, _, _ in MORE))
+#: Blobs that a worker remembers to have handed on; beyond that it may hand one on again.
+GIVEN = 100_000
 _LEDGER = "blob binary, rule_version string, base string, spans string"
 
 
@@ -78,14 +82,17 @@ def find(text: str) -> list[tuple[int, int, str, int]]:
     return sorted(out)
 
 
+def _spans(text: str) -> tuple[str, str]:
+    """The base spans and all spans, as kind:start:end, comma-joined."""
+    found = find(text)
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in found if k in BASE), ",".join(f"{k}:{s}:{e}" for s, _, k, e in found)
+
+
 def _scan(batches):
     for batch in batches:
-        base, spans = [], []
-        for text in batch.column(1).to_pylist():
-            found = find(text or "")
-            spans.append(",".join(f"{k}:{s}:{e}" for s, _, k, e in found))
-            base.append(",".join(f"{k}:{s}:{e}" for s, _, k, e in found if k in BASE))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([RULE_VERSION] * len(batch), pa.string()), pa.array(base, pa.string()), pa.array(spans, pa.string())], ["blob", "rule_version", "base", "spans"])
+        found = [_spans(t or "") for t in batch.column(1).to_pylist()]
+        columns = [batch.column(0), pa.array([RULE_VERSION] * len(batch), pa.string()), *(pa.array([f[i] for f in found], pa.string()) for i in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, ["blob", "rule_version", "base", "spans"])
 
 
 def blob_of(text: Column | str) -> Column:
@@ -93,34 +100,120 @@ def blob_of(text: Column | str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), 256))
 
 
-def update_ledger(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """The rows that the ledger lacks for docs(doc_id, text): (blob, rule_version, base, spans), one for each unseen blob.
+class _Sorter:
+    """Tells apart, by filters, blobs that no ledger has (`unseen`; None: all) and those that may be read more than once."""
 
-    Only hashes are grouped; a blob is read from one document that has it. Give it materialized to have the scan run once.
-    """
-    docs = narrow(docs, doc_id="long", text="string").withColumn("blob", blob_of("text"))
-    # doc_id null: -1 stands for it here, the blob itself tells such rows apart
-    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
-    unseen = docs.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    def __init__(self, unseen: DigestFilter | None, apart: DigestFilter) -> None:
+        self.unseen, self.apart = unseen, apart
+        self.given: set[bytes] = set()
+
+    def sort(self, texts: list[bytes | None]) -> tuple[list[bytes], list[str]]:
+        """Blobs, and what becomes of each text: scanned here (`scan`), once for all that have it (`give`), or not again (`pass`)."""
+        blobs = [hashlib.sha256(t or b"").digest() for t in texts]
+        new = self.unseen.contains(blobs) if self.unseen else [True] * len(blobs)
+        out = []
+        for blob, fresh, apart in zip(blobs, new, self.apart.contains(blobs), strict=True):
+            if not fresh or blob in self.given:
+                out.append("pass")
+            elif apart:
+                if len(self.given) >= GIVEN:
+                    self.given.clear()
+                self.given.add(blob)
+                out.append("give")
+            else:
+                out.append("scan")
+        return blobs, out
+
+
+def _read(unseen, apart, text: int, change: bool):
+    """Scans each batch's texts where it may. Adds blob, base, spans and, where another task scans it, the text; `change`: the
+    text itself is redacted where it was scanned."""
+
+    def run(batches):
+        sorter = _Sorter(unseen and unseen.value, apart.value)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                texts = part.column(text).cast(pa.binary()).to_pylist()
+                blobs, way = sorter.sort(texts)
+                texts = [None if t is None else t.decode("utf-8", "replace") for t in texts]
+                found = [_spans(t or "") if w == "scan" else (None, None) for t, w in zip(texts, way, strict=True)]
+                columns = part.columns
+                if change:
+                    columns[text] = pa.array([_cut(t, f[1]) for t, f in zip(texts, found, strict=True)], pa.string())
+                given = [t or "" if w == "give" else None for t, w in zip(texts, way, strict=True)]
+                more = [pa.array(blobs, pa.binary()), *(pa.array([f[i] for f in found], pa.string()) for i in (0, 1)), pa.array(given, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *more], [*part.schema.names, "blob", "base", "spans", "given"])
+
+    return run
+
+
+def _scanned(docs: DataFrame, text: str, ledger: DataFrame | None, change: bool) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Rows of docs with row, blob, base and spans, null where another row or the ledger has them; the new ledger rows; what is
+    known of the blobs of those rows (blob, n, base, spans), if anything was found; the number of rows."""
+    spark = docs.sparkSession
+    blobs = materialize(docs.groupBy(blob_of(text).alias("blob")).agg(F.count("*").alias("n")), "blobs")
+    n_rows = blobs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = spark.sparkContext.broadcast
+    if ledger is None:
+        unseen, fresh = None, blobs
+        apart = share(digest_filter(blobs.where("n > 1").select("blob")))
+    else:
+        ledger = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "base", "spans")
+        known = ledger.select("blob")
+        fresh = materialize(blobs.join(known, "blob", "left_anti"), "unseen")
+        apart = share(digest_filter(blobs.join(known, "blob", "left_semi").select("blob").union(fresh.where("n > 1").select("blob"))))
+        unseen = share(digest_filter(fresh.select("blob")))
+    at = docs.columns.index(text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", blob binary, base string, spans string, given string"
+    rows = docs.mapInArrow(_read(unseen, apart, at, change), schema)
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "read")
+    given = rows.where("given is not null").groupBy("blob").agg(F.first("given").alias("given"))
     if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    texts = docs.join(unseen.hint("shuffle_hash"), ["doc_id", "blob"], "left_semi").select("blob", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(_scan, _LEDGER)
+        given = given.join(fresh.select("blob"), "blob", "left_semi")
+    once = rows.where("spans is not null").select("blob", F.lit(RULE_VERSION).alias("rule_version"), "base", "spans")
+    new = materialize(once.union(given.mapInArrow(_scan, _LEDGER)), "ledger")
+    known = new if ledger is None else new.union(ledger)
+    found = known.where("spans <> ''").select("blob", "base", "spans").join(blobs, "blob").select("blob", "n", F.col("base").alias("base_"), F.col("spans").alias("spans_"))
+    return rows.drop("given"), new, found, n_rows
+
+
+def update_ledger(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """The rows that the ledger lacks for docs(text): (blob, rule_version, base, spans), one for each unseen blob."""
+    return scan(docs, ledger)[1]
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, ledger: DataFrame | None = None, **ids: str) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> (findings of every document, new ledger rows).
 
     Findings: doc_id, blob, base, spans; a row for each input row, null doc_ids and repeated rows included. Spans are
     kind:start:end, by start, then kind, comma-joined, in code points of the whole text; empty where nothing was found. Null and
-    empty texts are the empty blob. Extra columns are ignored; an empty table gives empty ones.
+    empty texts are the empty blob. ids: other columns and their types to carry instead of doc_id, as the path and version of
+    each blob. Extra columns are ignored; an empty table gives empty ones.
+
+    Digests are grouped, texts are not: a blob that one row has is scanned where it is read. Only blobs that several rows may
+    have are shuffled, one text of each from a task.
+    """
+    ids = ids or {"doc_id": "long"}
+    docs = narrow(docs, text="string", **ids)
+    rows, fresh, found, n_rows = _scanned(docs, "text", ledger, False)
+    out = join_by_key(rows.drop("text"), found, "blob", n_rows)
+    return out.select(*ids, "blob", *[F.coalesce(c, f"{c}_", F.lit("")).alias(c) for c in ("base", "spans")]), fresh
+
+
+def scan_into(docs: DataFrame, ledger_path: str, **ids: str) -> DataFrame:
+    """Findings as of scan(), against the ledger kept at a path, to which the new rows are added.
+
+    A run that fails adds nothing. With ids path="string", version="string", docs are all versions of all files: those that an
+    earlier run has seen are not scanned again, and the findings join back to every path and version.
     """
-    fresh = materialize(update_ledger(docs, ledger).dropDuplicates(["blob"]), "ledger")
-    known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*fresh.columns))
-    paths = narrow(docs, doc_id="long", text="string").select("doc_id", blob_of("text").alias("blob"))
-    found = known.where("spans <> ''").select("blob", "base", "spans")
-    out = paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"))
-    return out, fresh
+    spark = docs.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    out, fresh = scan(docs, spark.read.schema(_LEDGER).parquet(ledger_path) if there else None, **ids)
+    out = materialize(out, "findings")
+    fresh.write.mode("append").parquet(ledger_path)
+    return out
 
 
 def report(findings: DataFrame) -> DataFrame:
@@ -130,30 +223,43 @@ def report(findings: DataFrame) -> DataFrame:
     return findings.select("doc_id", *[count(k) for k in BASE], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-def _redact(batches):
-    for batch in batches:
-        at = {n: batch.schema.get_field_index(n) for n in ("text", "_spans")}
-        texts = []
-        for text, spans in zip(batch.column(at["text"]).to_pylist(), batch.column(at["_spans"]).to_pylist(), strict=True):
-            if spans and text is not None:
-                out, end = [], 0
-                for kind, s, e in (x.split(":") for x in spans.split(",")):
-                    if int(e) <= end:
-                        continue
-                    out += [text[end : max(end, int(s))], f"<{kind}>" if int(s) >= end else ""]
-                    end = int(e)
-                text = "".join([*out, text[end:]])
-            texts.append(text)
-        batch = batch.set_column(at["text"], "text", pa.array(texts, pa.string()))
-        yield batch.drop_columns(["_spans"])
+def _cut(text: str | None, spans: str | None) -> str | None:
+    """The text with <kind> in the place of each span; of spans that overlap, what an earlier one covers goes with that."""
+    if not spans or text is None:
+        return text
+    out, end = [], 0
+    for kind, s, e in (x.split(":") for x in spans.split(",")):
+        if int(e) <= end:
+            continue
+        out += [text[end : max(end, int(s))], f"<{kind}>" if int(s) >= end else ""]
+        end = int(e)
+    return "".join([*out, text[end:]])
+
+
+def _redact(at: int):
+    def run(batches):
+        for batch in batches:
+            spans = batch.column(batch.schema.get_field_index("spans_")).to_pylist()
+            columns = batch.columns[: batch.schema.get_field_index("blob")]
+            columns[at] = pa.array([_cut(t, s) for t, s in zip(columns[at].to_pylist(), spans, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[: len(columns)])
+
+    return run
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span found replaced by <kind>; other columns and documents as they are, n_chars set anew."""
-    findings, fresh = scan(docs)
-    found = fresh.where("spans <> ''").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    marked = docs.withColumn("_blob", blob_of("text")).join(found, "_blob", "left").drop("_blob")
-    out = marked.mapInArrow(_redact, docs.schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    """docs(text) with every span found replaced by <kind>; other columns and documents as they are, n_chars set anew.
+
+    Null and empty texts stay as they are, repeated rows and extra columns too, whatever their names; an empty table gives an
+    empty one.
+    """
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    rows, _, found, n_rows = _scanned(plain, f"c{at}", None, True)
+    done = rows.where("spans is not null").select(plain.columns)
+    left = join_by_key(rows.where("spans is null").select(*plain.columns, "blob", "row"), found, "blob", n_rows)
+    out = done.union(left.mapInArrow(_redact(at), plain.schema))
+    for i in [i for i, c in enumerate(docs.columns) if c == "n_chars"]:
+        kind = docs.schema[i].dataType
+        out = out.withColumn(f"c{i}", F.when(F.col(f"c{at}").isNotNull(), F.length(f"c{at}").cast(kind)).otherwise(F.col(f"c{i}")))
+    return out.toDF(*docs.columns)

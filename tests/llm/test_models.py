@@ -116,6 +116,32 @@ def test_every_capacity_holds(spark, rule):
     assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_uneven_neighbours(spark):
+    """Nearly all links of several thousand vectors of uneven variances are found, none twice and each for both of its ends."""
+    rng = np.random.default_rng(9)
+    scale = 1 / np.sqrt(np.arange(1, 49))
+    centers = rng.normal(size=(900, 48)) * scale
+    x = (centers[rng.integers(0, 900, 5000)] + rng.normal(size=(5000, 48)) * scale * rng.choice([0.1, 0.25, 0.35], (5000, 1))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "one") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label string")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.93
+    np.fill_diagonal(hit, False)
+    got = {r.vec_id: r for r in embed.near_duplicate_vectors(df).collect()}
+    n = np.array([got[i].n_links for i in range(len(x))])
+    true = hit.sum(1)
+    assert true.sum() > 5000 and (n <= true).all() and n.sum() >= 0.999 * true.sum() and n.sum() % 2 == 0
+    comp = components(range(len(x)), list(zip(*np.nonzero(np.triu(hit)), strict=True)))
+    assert sum(comp[i] != got[i].component_id for i in range(len(x))) <= 5
+
+
+def test_vector_table(spark):
+    from tessera.llm.q_embed import op5_embedding_near_dedup
+
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in table("embeddings")]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op5_embedding_near_dedup(spark, DIR).collect()}
+    assert got == brute_vectors(rows, 0.93)
+
+
 def test_mixing_meets_targets(spark):
     from tessera.llm.q_mixing import TARGETS, op9_mixing_sources
 

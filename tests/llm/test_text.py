@@ -7,6 +7,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, license, media, secrets
 from tessera.llm.q_chat import ADDED, op3_chat_formatting
@@ -49,6 +50,42 @@ def test_ledger(spark):
     assert secrets.scan(docs.limit(0))[0].count() == 0
 
 
+def test_kept_ledger(spark, tmp_path, monkeypatch):
+    """Versions of files against a ledger at a path: only unseen blobs are scanned, findings join back to all paths and versions."""
+    rows = [("a.py", "1", "token = abcdefgh1"), ("a.py", "2", "clean now"), ("b.py", "1", "token = abcdefgh1"), ("c.py", "1", None)]
+    path = f"file://{tmp_path}/ledger"
+    versions = lambda r: spark.createDataFrame(r, "path string, version string, text string")
+    for more, size in (([], 3), ([], 3), ([("a.py", "3", "secret=zzzzzzzzz"), ("d.py", "3", "secret=zzzzzzzzz"), ("e.py", "1", "clean now")], 4)):
+        got = secrets.scan_into(versions(rows + more), path, path="string", version="string").collect()
+        assert {(r.path, r.version): r.spans for r in got} == {(p, v): base(t or "") for p, v, t in rows + more}
+        assert spark.read.parquet(path).count() == size
+    assert secrets.update_ledger(versions(rows), spark.read.parquet(path)).count() == 0
+
+
+def test_scans_are_once(spark, monkeypatch):
+    """However many rows have a text, and in whatever tasks, the ledger has one row for it and every row its findings."""
+    texts = ["token = abcdefgh1"] * 300 + [f"n{i} passwd: {'x' * i}" for i in range(40)] * 2 + ["", None]
+    monkeypatch.setattr(secrets, "GIVEN", 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    found, fresh = secrets.scan(docs)
+    assert {r.doc_id: r.base for r in found.collect()} == {i: base(t or "") for i, t in enumerate(texts)}
+    assert fresh.count() == len({t or "" for t in texts})
+    got = {r.doc_id: r.text for r in secrets.redact(docs.withColumn("Blob", F.lit(1)).withColumn("spans", F.lit("x"))).collect()}
+    assert got == {i: secrets._cut(t, base(t or "")) for i, t in enumerate(texts)}
+
+
+def test_secret_table(spark):
+    from tessera.llm.q_secrets import op6_secret_scan
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = op6_secret_scan(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and set(filter(None, want.split(","))) <= set(r.spans.split(","))
+        assert [r.n_assign, r.n_access, r.n_hex] == [want.count(f"{k}:") for k in ("assign", "access", "hex")]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é token = abcdefgh1 end", 3), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(docs).collect()}
@@ -132,6 +169,44 @@ def test_media(spark, tmp_path):
     assert len(members) == 4 and all(hashlib.sha256(media.from_png(d)).hexdigest() == n.removesuffix(".png") for n, d in members.items())
     heads = media.read_headers(manifest, store).collect()
     assert {(r.width, r.depth) for r in heads} == {(64, 8)} and len(heads) == 4
+    for i, t in rows:  # the place of a row names its payload
+        r = got[i]
+        with open(tmp_path / "store" / r.shard, "rb") as f:
+            f.seek(r.offset)
+            data = f.read(r.length)
+        assert media.from_png(data) == media.payload_of((t or "").encode()) and hashlib.sha256(data).hexdigest() == r.media_sha256
+        assert (r.width, r.height, r.depth, r.digest) == (64, r.payload_bytes // 64, 8, r.payload_sha256)
+
+
+def test_headers_read_no_more(spark, tmp_path, monkeypatch):
+    """Metadata columns need the header bytes alone: they come from shards whose members are cut off after these."""
+    store = f"file://{tmp_path}/store"
+    _, manifest = media.media_columns(spark.createDataFrame([(1, "a" * 5000), (2, "b" * 70)], "doc_id long, text string"), store)
+    for r in manifest.collect():
+        with open(tmp_path / "store" / r.shard, "r+b") as f:
+            f.seek(r.offset + media.HEADER)
+            f.write(b"\0" * (r.length - media.HEADER))
+    assert sorted(r.height for r in media.read_headers(media.by_stripe(manifest), store).collect()) == [2, 79]
+
+
+def test_media_table(spark):
+    from tessera.llm.q_media import op7_media_columns
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = op7_media_columns(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id]
+        p, png = media.payload_of(t), media.to_png(media.payload_of(t))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.length, r.height) == (len(png), hashlib.sha256(png).hexdigest(), len(png), len(p) // 64)
+    by = {}
+    for r in got:
+        assert by.setdefault(texts[r.doc_id], r[2:]) == r[2:]
+
+
+def test_no_media(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string")
     assert media.media_columns(docs.limit(0), f"file://{tmp_path}/none")[0].count() == 0
 
 
