@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, narrow, scratch_path
+from tessera.llm.common import materialize, narrow, release, scratch_path
 from tessera.llm.sharing import digest_filter, join_by_key
 
 WIDTH = 64
@@ -174,7 +174,10 @@ def store_texts(docs: DataFrame, store: str) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = first.where("shard is null").select("digest", "media").repartition(parts, "digest").sortWithinPartitions("digest").mapInArrow(_write(store), _PLACED)
     placed = first.where("shard is not null").unionByName(shared).drop("media")
-    return materialize(placed.join(digests, "digest"), "manifest")
+    manifest = materialize(placed.join(digests, "digest"), "manifest")
+    release(first)
+    release(digests)
+    return manifest
 
 
 def _ranges(store: str, part: pa.RecordBatch, files: dict, size: int | None):

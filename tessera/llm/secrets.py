@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, narrow
-from tessera.llm.sharing import DigestFilter, digest_filter, join_by_key
+from tessera.llm.sharing import FREQUENT, DigestFilter, digest_filter, join_by_key
 
 #: Changes whenever a rule does, so that blobs scanned under older rules are scanned again.
 RULE_VERSION = "3"
@@ -126,8 +126,8 @@ class _Sorter:
 
 
 def _read(unseen, apart, text: int, change: bool):
-    """Scans each batch's texts where it may. Adds blob, base, spans and, where another task scans it, the text; `change`: the
-    text itself is redacted where it was scanned."""
+    """Scans each batch's texts where it may. Adds blob, base, spans and, where another task scans it, the text; the column itself
+    is redacted where it was scanned (`change`) or goes."""
 
     def run(batches):
         sorter = _Sorter(unseen and unseen.value, apart.value)
@@ -138,12 +138,14 @@ def _read(unseen, apart, text: int, change: bool):
                 blobs, way = sorter.sort(texts)
                 texts = [None if t is None else t.decode("utf-8", "replace") for t in texts]
                 found = [_spans(t or "") if w == "scan" else (None, None) for t, w in zip(texts, way, strict=True)]
-                columns = part.columns
-                if change:
+                columns, names = part.columns, part.schema.names
+                if not change:
+                    del columns[text], names[text]
+                else:
                     columns[text] = pa.array([_cut(t, f[1]) for t, f in zip(texts, found, strict=True)], pa.string())
                 given = [t or "" if w == "give" else None for t, w in zip(texts, way, strict=True)]
                 more = [pa.array(blobs, pa.binary()), *(pa.array([f[i] for f in found], pa.string()) for i in (0, 1)), pa.array(given, pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, *more], [*part.schema.names, "blob", "base", "spans", "given"])
+                yield pa.RecordBatch.from_arrays([*columns, *more], [*names, "blob", "base", "spans", "given"])
 
     return run
 
@@ -165,7 +167,7 @@ def _scanned(docs: DataFrame, text: str, ledger: DataFrame | None, change: bool)
         apart = share(digest_filter(blobs.join(known, "blob", "left_semi").select("blob").union(fresh.where("n > 1").select("blob"))))
         unseen = share(digest_filter(fresh.select("blob")))
     at = docs.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", blob binary, base string, spans string, given string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if change or f.name != text) + ", blob binary, base string, spans string, given string"
     rows = docs.mapInArrow(_read(unseen, apart, at, change), schema)
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "read")
     given = rows.where("given is not null").groupBy("blob").agg(F.first("given").alias("given"))
@@ -174,7 +176,8 @@ def _scanned(docs: DataFrame, text: str, ledger: DataFrame | None, change: bool)
     once = rows.where("spans is not null").select("blob", F.lit(RULE_VERSION).alias("rule_version"), "base", "spans")
     new = materialize(once.union(given.mapInArrow(_scan, _LEDGER)), "ledger")
     known = new if ledger is None else new.union(ledger)
-    found = known.where("spans <> ''").select("blob", "base", "spans").join(blobs, "blob").select("blob", "n", F.col("base").alias("base_"), F.col("spans").alias("spans_"))
+    found = known.select("blob", F.col("base").alias("base_"), F.col("spans").alias("spans_")).join(blobs, "blob")
+    found = found.where((F.col("spans_") != "") | (F.col("n") >= n_rows * FREQUENT))  # frequent ones are not to be joined in vain
     return rows.drop("given"), new, found, n_rows
 
 
@@ -197,7 +200,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, **ids: str) -> tuple[
     ids = ids or {"doc_id": "long"}
     docs = narrow(docs, text="string", **ids)
     rows, fresh, found, n_rows = _scanned(docs, "text", ledger, False)
-    out = join_by_key(rows.drop("text"), found, "blob", n_rows)
+    out = join_by_key(rows, found, "blob", n_rows)
     return out.select(*ids, "blob", *[F.coalesce(c, f"{c}_", F.lit("")).alias(c) for c in ("base", "spans")]), fresh
 
 
