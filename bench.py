@@ -45,7 +45,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    from tessera.plans.queries import QUERIES as own
+    from tessera.plans.registry import QUERIES as own
 
     out = {}
     for name in QUERIES:

@@ -1,4 +1,4 @@
-"""Command line: python -m tessera.cli detect|list|info|parse|process|init|clean|cache-dir ..."""
+"""Command line: python -m tessera.cli list|info|download|parse|process|init|clean|cache-dir ..."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pathlib import Path
 
 from tessera.errors import TesseraError
 from tessera.operators import intel, syntax
-from tessera.operators.catalog import Catalog, builtin, get_language, load_markdown
+from tessera.operators.catalog import ALIASES, Catalog, builtin, download_plan, load_markdown
 from tessera.operators.process import ProcessConfig, process_text, resolve
 from tessera.schemas import FAMILIES
 from tessera.sources import config as pack
@@ -62,6 +62,12 @@ def main(argv: list[str] | None = None) -> int:
     c = commands.add_parser("list")
     c.add_argument("--filter", default="")
     commands.add_parser("info").add_argument("name")
+    c = commands.add_parser("download")
+    c.add_argument("names", nargs="*", default=[])
+    c.add_argument("--all", action="store_true")
+    c.add_argument("--groups", nargs="*", default=[])
+    c.add_argument("--config")
+    c.add_argument("--fresh", action="store_true")
     c = commands.add_parser("init")
     c.add_argument("--languages", nargs="*", default=[])
     c.add_argument("--groups", nargs="*", default=[])
@@ -75,8 +81,14 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "list":
             print("\n".join(n for n in sorted(catalog.extensions) if args.filter in n))
         elif args.command == "info":
-            known = args.name in catalog.extensions
-            print(json.dumps({"name": args.name, "known": known, "backend": syntax.has_backend(get_language(catalog, args.name)) if known else False, "cache_dir": cache}))
+            to = ALIASES.get(args.name, args.name)
+            known = to in catalog.extensions
+            print(json.dumps({"name": args.name, "known": known, "backend": known and syntax.has_backend(to), "cache_dir": cache}))
+        elif args.command == "download":
+            config = pack.load(args.config) if args.config else pack.discover()
+            if args.fresh:
+                pack.clean_cache(cache)
+            print("\n".join(download_plan(catalog, args.all, tuple(args.groups), tuple(args.names), config)))
         elif args.command == "init":
             pack.write(pack.FILE, pack.PackConfig(args.cache_dir, args.languages, args.groups))
         elif args.command == "clean":

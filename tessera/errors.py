@@ -9,28 +9,12 @@ class LanguageNotFoundError(TesseraError):
     """A name that is neither a language nor an alias."""
 
 
-class DynamicLoadError(TesseraError):
-    """A backend that is there but cannot be loaded."""
-
-
-class NullLanguagePointerError(TesseraError):
-    """A backend that loads as nothing."""
-
-
-class ParserSetupError(TesseraError):
-    """A parser that does not take its language."""
-
-
-class LockPoisonedError(TesseraError):
-    """Shared state left behind by a failure."""
-
-
 class ConfigError(TesseraError):
     """A configuration that cannot be read."""
 
 
 class ParseFailedError(TesseraError):
-    """A parse without a tree."""
+    """A text that cannot be parsed."""
 
 
 class QueryError(TesseraError):
@@ -41,10 +25,6 @@ class InvalidRangeError(TesseraError):
     """A byte range outside its text."""
 
 
-class CacheLockError(TesseraError):
-    """A cache that another process holds."""
-
-
 class DownloadError(TesseraError):
     """Something asked for that cannot be fetched."""
 

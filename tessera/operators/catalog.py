@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.errors import DownloadError, LanguageNotFoundError
+from tessera.operators.syntax import has_backend
 
 #: Aliases, resolved in one hop.
 ALIASES = {"bazel": "starlark", "gradle": "groovy", "ignorefile": "gitignore", "lisp": "commonlisp", "makefile": "make", "shell": "bash"}
@@ -107,11 +108,10 @@ BUILTIN = {
     "yaml": "yaml yml",
     "zig": "zig",
 }
-#: Languages with a syntax backend here, by how far it goes.
+#: How far the syntax backends go; those not named here work on brackets, words and line ends alone.
 FIDELITY = {
-    "exact": ("json", "csv", "psv", "properties", "ini", "editorconfig", "po", "toml", "xml", "dtd"),
-    "good": ("python", "html", "yaml", "json5", "hjson", "hcl", "hocon", "kdl", "cue", "nginx", "caddy"),
-    "heuristic": ("javascript", "typescript", "tsx", "go", "java", "rust", "c", "cpp", "kotlin", "ruby", "elixir"),
+    "exact": ("json", "csv", "psv", "xml"),
+    "good": ("python", "html", "properties", "ini", "editorconfig", "po", "toml", "dtd", "yaml", "json5", "hjson", "hcl", "hocon", "kdl", "cue", "nginx", "caddy"),
 }
 
 
@@ -137,8 +137,9 @@ class Catalog:
     def frame(self, spark: SparkSession) -> DataFrame:
         """(name, alias_of, extensions, backend, fidelity), aliases whose target is there included."""
         level = {n: f for f, names in FIDELITY.items() for n in names}
-        rows = [(n, None, list(e), "builtin" if n in level else None, level.get(n, "catalogue")) for n, e in self.extensions.items()]
-        rows += [(a, t, [], "builtin" if t in level else None, level.get(t, "catalogue")) for a, t in ALIASES.items() if t in self.extensions]
+        about = lambda n: ("builtin", level.get(n, "heuristic")) if has_backend(n) else (None, "catalogue")
+        rows = [(n, None, list(e), *about(n)) for n, e in self.extensions.items()]
+        rows += [(a, t, [], *about(t)) for a, t in ALIASES.items() if t in self.extensions]
         return spark.createDataFrame(rows, "name string, alias_of string, extensions array<string>, backend string, fidelity string")
 
 
@@ -192,13 +193,13 @@ def language_count(languages: DataFrame) -> DataFrame:
 def has_language(asked: DataFrame, languages: DataFrame, name: str = "name") -> DataFrame:
     """asked with known (its name, or what that is an alias of, is in the catalogue)."""
     known = languages.where("alias_of is null").select(F.col("name").alias("_known")).distinct()
-    return asked.withColumn("_to", resolve_alias(F.col(name))).join(F.broadcast(known), F.col("_to") == F.col("_known"), "left").withColumn("known", F.col("_known").isNotNull()).drop("_to", "_known")
+    return asked.withColumn("_to", resolve_alias(F.col(name))).join(known, F.col("_to") == F.col("_known"), "left").withColumn("known", F.col("_known").isNotNull()).drop("_to", "_known")
 
 
 def has_parser(asked: DataFrame, languages: DataFrame, name: str = "name") -> DataFrame:
     """asked with has_parser: a syntax backend is built in for it."""
     able = languages.where("alias_of is null and backend is not null").select(F.col("name").alias("_able")).distinct()
-    return asked.withColumn("_to", resolve_alias(F.col(name))).join(F.broadcast(able), F.col("_to") == F.col("_able"), "left").withColumn("has_parser", F.col("_able").isNotNull()).drop("_to", "_able")
+    return asked.withColumn("_to", resolve_alias(F.col(name))).join(able, F.col("_to") == F.col("_able"), "left").withColumn("has_parser", F.col("_able").isNotNull()).drop("_to", "_able")
 
 
 def list_filter(languages: DataFrame, part: str) -> DataFrame:
@@ -218,6 +219,12 @@ def info(languages: DataFrame, name: str, cache_dir: str = "") -> DataFrame:
     return has_parser(has_language(asked, languages), languages).select("name", "known", F.col("has_parser").alias("downloaded"), F.lit(cache_dir).alias("cache_dir"))
 
 
+def language_of(name: Column, catalog: Catalog | None = None) -> Column:
+    """The canonical name of a language, null for one that the catalogue has not."""
+    known = {n: n for n in (catalog or builtin()).extensions}
+    return F.element_at(_literal_map(known), resolve_alias(name))
+
+
 def downloaded_languages(languages: DataFrame) -> DataFrame:
     return languages.where("alias_of is null and backend is not null").select("name").orderBy("name")
 
@@ -248,6 +255,42 @@ def require_group(catalog: Catalog, group: str) -> int:
     return len(catalog.extensions)
 
 
+def download_plan(catalog: Catalog, everything: bool = False, groups: tuple[str, ...] = (), languages: tuple[str, ...] = (), config=None) -> list[str]:
+    """Canonical names, sorted: all there are, else the groups' members, else the languages given, else those of a configuration
+    (its languages, then its groups' members). An unknown name or group raises."""
+    if everything:
+        return sorted(catalog.extensions)
+    if not groups and not languages and config is not None:
+        languages, groups = tuple(config.languages), tuple(config.groups)
+        if languages and groups:
+            return sorted({*download_plan(catalog, languages=languages), *download_plan(catalog, groups=groups)})
+    if groups:
+        for g in groups:
+            require_group(catalog, g)
+        return sorted({m for g in groups for m in (catalog.groups or {})[g]})
+    return sorted({get_language(catalog, n) for n in languages})
+
+
+def prefetch(spark: SparkSession, catalog: Catalog, names: list[str]) -> int:
+    """Loads the backends of the languages on every core, by a task each; the number of unique names asked for."""
+    to = sorted({get_language(catalog, n) for n in names})
+    cores = spark.sparkContext.defaultParallelism
+
+    def warm(batches):
+        import pyarrow as pa
+
+        from tessera.operators.syntax import parse
+
+        for batch in batches:
+            for name in to:
+                parse("", name)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["id"])
+
+    if to:
+        spark.range(cores, numPartitions=cores).mapInArrow(warm, "id long").count()
+    return len(set(names))
+
+
 def get_language(catalog: Catalog, name: str) -> str:
     """The canonical name; an unknown or empty one raises."""
     to = ALIASES.get(name, name)

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
+import numpy as np
+
 from tessera.operators.intel import Document
 
 #: Node kinds whose names a chunk lists.
-DEFINITIONS = {"function_definition", "function_declaration", "function_item", "method_definition", "method_declaration", "class_definition", "class_declaration", "struct_item", "enum_item", "trait_item", "impl_item", "interface_declaration", "module_definition", "mod_item", "type_spec"}
+DEFINITIONS = {"function_definition", "function_declaration", "function_item", "class_definition", "class_declaration", "struct_item", "struct_definition", "enum_item", "enum_declaration", "method_definition", "method_declaration", "trait_item", "impl_item"}
 CHUNK_COMMENTS = ("comment", "line_comment", "block_comment")
 
 
@@ -55,7 +57,7 @@ def split(data: bytes, most: int, boundaries: list[list[int]] | None = None) ->
         return []
     if len(data) <= most:
         return [(0, len(data))]
-    ends = [i + 1 for i, c in enumerate(data) if c == 10]
+    ends = (np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1).tolist()
     levels = [sorted({*level, len(data)}) for level in boundaries or []]
     out: list[tuple[int, int]] = []
     work = [(0, len(data), 0)]
@@ -99,33 +101,40 @@ def boundaries(d: Document) -> list[list[int]]:
 
 
 def chunks(d: Document, most: int) -> list[dict]:
-    """The chunks of a document with what they hold; one sweep over the nodes serves all chunks."""
+    """The chunks of a document with what they hold; one sweep over the nodes serves all chunks.
+
+    A node belongs to the chunks that it overlaps; its kind (at most one level below the root) and a comment only to a chunk that
+    has all of it.
+    """
     data = d.text.encode("utf-8", "surrogatepass")
     ranges = split(data, most, boundaries(d))
-    newlines = [i for i, c in enumerate(data) if c == 10]
+    newlines = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     starts = [a for a, _ in ranges]
+    lines = np.searchsorted(newlines, np.array(ranges, np.int64).reshape(-1, 2)).tolist()
     out = []
-    for i, (a, b) in enumerate(ranges):
-        out.append({"chunk_index": i, "total_chunks": len(ranges), "content": data[a:b].decode("utf-8", "replace"), "start_byte": a, "end_byte": b, "start_line": bisect_left(newlines, a), "end_line": bisect_left(newlines, b), "language": d.language, "node_types": [], "context_path": [], "symbols_defined": [], "comments": [], "docstrings": [], "has_error_nodes": False})
-    for i, n in enumerate(d.nodes):
+    for i, ((a, b), (first, last)) in enumerate(zip(ranges, lines, strict=True)):
+        out.append({"chunk_index": i, "total_chunks": len(ranges), "content": data[a:b].decode("utf-8", "replace"), "start_byte": a, "end_byte": b, "start_line": first, "end_line": last, "language": d.language, "node_types": [], "context_path": [], "symbols_defined": [], "comments": [], "docstrings": [], "has_error_nodes": False})
+    for i, n in enumerate(d.nodes if out else ()):
         a, b = d.places.at(n.start), d.places.at(n.end)
-        first = max(0, bisect_right(starts, a) - 1)
-        last = max(first, bisect_left(starts, b) - 1) if b > a else first
-        if not out:
-            break
+        first = bisect_right(starts, a) - 1
+        last = bisect_left(starts, b) - 1
+        if a == starts[first] == b:  # nothing at the very start of a chunk lies outside of it
+            continue
+        last = max(last, first)
         if n.error or n.missing:
             for k in range(first, last + 1):
                 out[k]["has_error_nodes"] = True
-        if first == last and a >= out[first]["start_byte"] and b <= out[first]["end_byte"]:
-            if n.depth <= 1 and n.named and n.kind not in out[first]["node_types"]:
+        if first == last:
+            if n.depth <= 1 and n.kind not in out[first]["node_types"]:
                 out[first]["node_types"].append(n.kind)
             if n.kind in CHUNK_COMMENTS:
                 text = d.source(i)
                 kind = "Block" if n.kind == "block_comment" else "Doc" if text.startswith(("///", "//!", "/**", "/*!")) else "Line"
-                out[first]["comments"].append({"text": text, "kind": kind, "span": d.span(i)})
+                out[first]["comments"].append({"text": text, "kind": kind, "span": d.span(i), "associated_node": d.next_named(i)})
         if n.kind in DEFINITIONS:
             at = next((x for x in (d.child(i, f) for f in ("name", "declarator", "binding")) if x is not None), None)
-            if at is not None and (name := d.source(at)):
+            if at is not None:
+                name = d.source(at)
                 for k in range(first, last + 1):
                     out[k]["symbols_defined"].append(name)
                     if a < out[k]["start_byte"]:

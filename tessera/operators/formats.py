@@ -11,6 +11,10 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 KEY_VALUE, SEQUENCE, ELEMENT = "KeyValue", "Sequence", "Element"
 
 
@@ -57,6 +61,13 @@ def strip_quotes(text: str) -> str:
     return text[1:-1] if len(text) >= 2 and text[0] == text[-1] and text[0] in "\"'" else text
 
 
+def strip_quotes_column(text: Column) -> Column:
+    """strip_quotes() as a native expression."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    quoted = bare.rlike(r"""(?s)^("(.*)"|'(.*)')$""")
+    return F.when(quoted, F.substr(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+
+
 # JSON and its relatives
 
 _JSON = re.compile(
@@ -711,10 +722,11 @@ class Places:
     def __init__(self, text: str) -> None:
         self.byte = None
         if not text.isascii():
-            self.byte = [0]
-            for c in text:
-                o = ord(c)
-                self.byte.append(self.byte[-1] + (1 if o < 128 else 2 if o < 2048 else 3 if o < 65536 else 4))
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            size = (code > 0x7F).astype(np.int64)
+            size += code > 0x7FF
+            size += code > 0xFFFF
+            self.byte = [0, *np.cumsum(size + 1).tolist()]
         self.line_starts = [0, *(m.end() for m in re.finditer("\n", text))]
 
     def at(self, place: int) -> int:

@@ -240,14 +240,12 @@ def to_sexp(nodes: list[Node]) -> str:
     """The named nodes as an S-expression, with fields."""
     out: list[str] = []
     depth = -1
+    levels: list[int] = []
     for n in nodes:
+        level = 0 if n.parent < 0 else levels[n.parent] + nodes[n.parent].named
+        levels.append(level)
         if not (n.named or n.missing):
             continue
-        level = 0
-        p = n.parent
-        while p >= 0:
-            level += nodes[p].named
-            p = nodes[p].parent
         out.append(")" * (depth - level + 1) if level <= depth else "")
         text = f"(MISSING {n.kind}" if n.missing else f"({n.kind}"
         out.append((" " if len(out) > 1 else "") + (f"{n.field}: " if n.field else "") + text)

@@ -9,18 +9,20 @@ from __future__ import annotations
 
 import dataclasses
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructType
 
-from tessera.errors import ConfigError, LanguageNotFoundError, TesseraError
+from tessera.errors import ConfigError, LanguageNotFoundError, ParseFailedError, TesseraError
 from tessera.functions.metrics import metric_columns
 from tessera.operators import chunk as chunking
 from tessera.operators import formats, intel, syntax
 from tessera.operators.catalog import ALIASES, Catalog, builtin
+from tessera.operators.syntax.base import paths
 from tessera.schemas import FAMILIES, ITEMS, NODES, SPAN_FIELDS, array_of
 
 
@@ -73,12 +75,13 @@ def _rows(family: str, items: list[dict]) -> list[dict]:
         for s in ("span", "body_span"):
             if s in row:
                 row[s] = _span(row[s])
-        if family == "chunks":
+        if family == "chunks" and item["comments"]:
             row["comments"] = [c | {"span": _span(c["span"])} for c in item["comments"]]
         out.append(row)
     return out
 
 
+@cache
 def _fields(schema: str) -> list[str]:
     """The top-level fields of a struct's schema string."""
     out, depth, at = [], 0, 0
@@ -128,43 +131,67 @@ def _arrow(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def _map(docs: DataFrame, schema: str, rows) -> DataFrame:
-    """mapInArrow over (doc_id, content, language); rows(doc_id, text, language) gives dicts of the schema."""
+def as_text(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, content, language) with content as a string; bytes that are no UTF-8 become null, marked by `invalid`."""
+    if not isinstance(docs.schema["content"].dataType, BinaryType):
+        return docs.select("doc_id", "content", "language", F.lit(False).alias("invalid"))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return docs.select("doc_id", text.alias("content"), "language", (F.col("content").isNotNull() & text.isNull()).alias("invalid"))
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """docs in as many partitions as there are cores, if they are in fewer; large inputs have more and stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.isStreaming or docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
+def _map(docs: DataFrame, schema: str, rows, kept: tuple[str, ...] = ()) -> DataFrame:
+    """mapInArrow over as_text(docs), spread over the cores; rows(doc_id, text, language, invalid) gives dicts of the schema.
+
+    kept: columns that go through unseen, where there is one row for each document.
+    """
     arrow = _arrow(schema)
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200).to_pylist()
+                part = batch.slice(at, 200)
                 out: list[dict] = []
-                for r in part:
-                    out += rows(r["doc_id"], r["content"] or "", r["language"])
+                for r in part.select(["doc_id", "content", "language", "invalid"]).to_pylist():
+                    out += rows(r["doc_id"], r["content"] or "", r["language"], r["invalid"])
                 if out:
-                    yield from pa.Table.from_pylist(out, schema=arrow).to_batches()
+                    own = [pa.array([r.get(f.name) for r in out], f.type) for f in arrow]
+                    yield pa.RecordBatch.from_arrays([*own, *(part.column(part.schema.get_field_index(k)) for k in kept)], [*arrow.names, *kept])
 
-    return docs.select("doc_id", "content", "language").mapInArrow(run, schema)
+    more = "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in kept)
+    return _spread(docs).mapInArrow(run, schema + more)
 
 
 def process(docs: DataFrame, config: ProcessConfig | None = None, catalog: Catalog | None = None, mode: str = "permissive") -> DataFrame:
-    """docs(doc_id, content, language) -> one wide row each: metrics, families, chunks, data and error. The language is the resolved one."""
+    """docs(doc_id, content, language) -> one wide row each: metrics, families, chunks, data and error. The language is the
+    resolved one. content: text or bytes; bytes that are no UTF-8 are an error. Metrics are computed where the text is read, so it
+    goes to Python once and does not come back."""
     config = config or ProcessConfig()
     known = frozenset((catalog or builtin()).extensions)
     families = [f for f in FAMILIES if getattr(config, f)] + ["chunks"] * (config.chunk_max_size is not None) + ["data"] * config.data_extraction
-    schema = "doc_id long, content string, resolved string, node_count long, error_count long, max_depth long, error string, " + ", ".join(f"{f} {array_of(f)}" for f in families)
+    schema = "doc_id long, resolved string, node_count long, error_count long, max_depth long, error string" + "".join(f", {f} {array_of(f)}" for f in families)
 
-    def rows(doc_id, text, language):
+    def rows(doc_id, text, language, invalid):
         try:
+            if invalid:
+                raise ParseFailedError("invalid UTF-8")
             to = resolve(language, known)
             got = process_text(text, to, config)
-            return [{"doc_id": doc_id, "content": text, "resolved": to, "error": None} | {k: got[k] for k in ("node_count", "error_count", "max_depth", *families)}]
+            return [{"doc_id": doc_id, "resolved": to, "error": None} | {k: got[k] for k in ("node_count", "error_count", "max_depth", *families)}]
         except Exception as e:  # noqa: BLE001  one bad document doesn't end the job
             if mode == "failfast":
                 raise
-            return [{"doc_id": doc_id, "content": text, "resolved": language, "error": f"{type(e).__name__}: {e}"}]
+            return [{"doc_id": doc_id, "resolved": language, "error": f"{type(e).__name__}: {e}"}]
 
-    out = _map(docs, schema.rstrip(", "), rows)
-    m = metric_columns(F.col("content"))
-    return out.select("doc_id", F.col("resolved").alias("language"), *[c.alias(n) for n, c in m.items()], "node_count", "error_count", "max_depth", *families, "error")
+    texts = as_text(docs)
+    m = metric_columns(F.coalesce("content", F.lit("")))
+    out = _map(texts.select("*", *[c.alias(n) for n, c in m.items()]), schema, rows, tuple(m))
+    return out.select("doc_id", F.col("resolved").alias("language"), *m, "node_count", "error_count", "max_depth", *families, "error")
 
 
 def family(processed: DataFrame, name: str) -> DataFrame:
@@ -180,25 +207,43 @@ def flat_span(df: DataFrame, column: str = "span") -> DataFrame:
     return df.select("*", *[F.col(f"{column}.{f}").alias(f) for f in SPAN_FIELDS]).drop(column)
 
 
-def parse_documents(docs: DataFrame, catalog: Catalog | None = None, mode: str = "permissive") -> DataFrame:
-    """docs(doc_id, content, language) -> the nodes table. A document whose language is not known has no rows, or raises."""
+def parse_documents(docs: DataFrame, catalog: Catalog | None = None, mode: str = "permissive", ancestors: bool = False) -> DataFrame:
+    """docs(doc_id, content, language) -> the nodes table. content: text or bytes. A document whose language is not known, or whose
+    bytes are no UTF-8, has no rows, or raises. ancestors: with the ids of each node's ancestors, the root first, else null."""
     known = frozenset((catalog or builtin()).extensions)
 
-    def rows(doc_id, text, language):
+    def rows(doc_id, text, language, invalid):
         try:
+            if invalid:
+                raise ParseFailedError("invalid UTF-8")
             nodes = syntax.parse(text, resolve(language, known))
         except TesseraError:
             if mode == "failfast":
                 raise
             return []
         places = formats.Places(text)
+        above = paths(nodes) if ancestors else [None] * len(nodes)
         return [
-            {"doc_id": doc_id, "node_id": i, "subtree_last": n.subtree_last, "parent_id": None if n.parent < 0 else n.parent, "child_index": n.child_index, "depth": n.depth, "kind": n.kind, "field": n.field, "is_named": n.named, "is_error": n.error, "is_missing": n.missing, "is_extra": n.extra}
+            {"doc_id": doc_id, "node_id": i, "subtree_last": n.subtree_last, "parent_id": None if n.parent < 0 else n.parent, "child_index": n.child_index, "depth": n.depth, "kind": n.kind, "field": n.field, "is_named": n.named, "is_error": n.error, "is_missing": n.missing, "is_extra": n.extra, "has_error": n.has_error, "ancestors": above[i]}
             | _span(places.span(n.start, n.end))
             for i, n in enumerate(nodes)
         ]
 
-    return _map(docs, NODES, rows)
+    return _map(as_text(docs), NODES, rows)
+
+
+def s_expressions(docs: DataFrame, catalog: Catalog | None = None) -> DataFrame:
+    """docs(doc_id, content, language) -> (doc_id, language, sexp, has_errors), nulls where the language is not known."""
+    known = frozenset((catalog or builtin()).extensions)
+
+    def rows(doc_id, text, language, invalid):
+        try:
+            nodes = syntax.parse(text, to := resolve(language, known))
+        except TesseraError:
+            return [{"doc_id": doc_id, "language": language}]
+        return [{"doc_id": doc_id, "language": to, "sexp": intel.to_sexp(nodes), "has_errors": any(n.error or n.missing for n in nodes)}]
+
+    return _map(as_text(docs), "doc_id long, language string, sexp string, has_errors boolean", rows)
 
 
 def extract_data(docs: DataFrame) -> DataFrame:
@@ -206,10 +251,10 @@ def extract_data(docs: DataFrame) -> DataFrame:
     names = [f.split(":", 1) for f in _fields(ITEMS["data"])]
     schema = "doc_id long, " + ", ".join(f"{a} {b}" for a, b in names)
 
-    def rows(doc_id, text, language):
+    def rows(doc_id, text, language, invalid):
         return [{"doc_id": doc_id} | r for r in data_rows(text, ALIASES.get(language or "", language or "")) or []]
 
-    return _map(docs, schema, rows)
+    return _map(as_text(docs), schema, rows)
 
 
 def code_chunks(docs: DataFrame, most: int, mode: str = "permissive") -> DataFrame:

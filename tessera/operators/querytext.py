@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.catalog import resolve_alias
+from tessera.operators.catalog import ALIASES, resolve_alias
+from tessera.operators.process import ProcessConfig, process
 
 KINDS = ("highlights", "injections", "locals", "tags", "indents", "folds")
 
@@ -23,6 +24,35 @@ def lookup(asked: DataFrame, queries: DataFrame, aliases: bool = False) -> DataF
     return rows.join(texts, ["_to", "kind"], "left").select("language", "kind", "source")
 
 
+#: Captures of tag queries, by the kinds of structure items and symbols.
+CAPTURES = {
+    "Class": "definition.class",
+    "Struct": "definition.class",
+    "Enum": "definition.class",
+    "Interface": "definition.interface",
+    "Trait": "definition.interface",
+    "Function": "definition.function",
+    "Method": "definition.method",
+    "Module": "definition.module",
+    "Impl": "reference.implementation",
+}
+SYMBOL_CAPTURES = {"Type": "definition.type", "Constant": "definition.constant"}
+
+
+def tags(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, content, language) -> (doc_id, capture, name, span) of what each document defines, or implements."""
+    out = process(docs, ProcessConfig(structure=True, imports=False, exports=False, symbols=True))
+
+    def captured(family: str, captures: dict[str, str]):
+        names = F.create_map(*[F.lit(x) for pair in captures.items() for x in pair])
+        item = lambda x: F.struct(F.element_at(names, x["kind"]).alias("capture"), x["name"].alias("name"), x["span"].alias("span"))
+        return F.transform(F.filter(family, lambda x: x["kind"].isin(*captures) & x["name"].isNotNull()), item)
+
+    both = F.concat(captured("structure", CAPTURES), captured("symbols", SYMBOL_CAPTURES))
+    return out.select("doc_id", F.explode(both).alias("t")).select("doc_id", "t.capture", "t.name", "t.span")
+
+
 def get_query(queries: DataFrame, language: str, kind: str) -> str | None:
-    row = queries.where((F.col("language") == language) & (F.col("kind") == kind)).select("source").first()
+    """The text of a language, or of what its name is an alias of."""
+    row = queries.where((F.col("language") == ALIASES.get(language, language)) & (F.col("kind") == kind)).select("source").first()
     return row.source if row else None

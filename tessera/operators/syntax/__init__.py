@@ -6,7 +6,7 @@ The kinds follow the names that common grammars use, as far as a backend goes; l
 from __future__ import annotations
 
 from tessera.operators.syntax.base import Node, flatten
-from tessera.operators.syntax import braces, data, ends, indented
+from tessera.operators.syntax import braces, data, ends, indented, records
 
 _BACKENDS = {
     "python": indented.parse_python,
@@ -17,6 +17,7 @@ _BACKENDS = {
     "json": data.parse_json,
     "csv": data.parse_separated,
     "psv": data.parse_separated,
+    **dict.fromkeys(records.KINDS, records.parse_records),
 }
 
 

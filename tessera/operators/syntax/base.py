@@ -22,6 +22,7 @@ class Node:
     child_index: int = 0
     depth: int = 0
     subtree_last: int = 0
+    has_error: bool = False
 
     def add(self, kind: str, start: int, end: int, **more) -> Node:
         child = Node(kind, start, end, **more)
@@ -43,6 +44,18 @@ def flatten(root: Node) -> list[Node]:
     for i in range(len(out) - 1, 0, -1):
         p = out[out[i].parent]
         p.subtree_last = max(p.subtree_last, out[i].subtree_last)
+        out[i].has_error |= out[i].error or out[i].missing
+        p.has_error |= out[i].has_error
+    if out:
+        out[0].has_error |= out[0].error or out[0].missing
+    return out
+
+
+def paths(nodes: list[Node]) -> list[tuple[int, ...]]:
+    """The ancestors of each node, the root first."""
+    out: list[tuple[int, ...]] = []
+    for n in nodes:
+        out.append(() if n.parent < 0 else (*out[n.parent], n.parent))
     return out
 
 

@@ -49,15 +49,21 @@ def next_siblings(nodes: DataFrame, named: bool = False) -> DataFrame:
 
 def has_error(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id) of nodes with an error or missing node in their subtree."""
-    bad = nodes.where("is_error or is_missing").select("doc_id", F.col("node_id").alias("bad"))
-    return nodes.join(bad, "doc_id").where("node_id <= bad and bad <= subtree_last").select("doc_id", "node_id").distinct()
+    return nodes.where("has_error").select("doc_id", "node_id")
 
 
-def ancestors(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """(doc_id, node_id, ancestor_id) for the nodes of `of`; a range of ids in each document, never a cross join."""
-    inner = of.select("doc_id", F.col("node_id").alias("inner_id"))
-    outer = nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), "subtree_last")
-    return inner.join(outer, "doc_id").where("ancestor_id < inner_id and inner_id <= subtree_last").select("doc_id", F.col("inner_id").alias("node_id"), "ancestor_id")
+def ancestors(of: DataFrame) -> DataFrame:
+    """(doc_id, node_id, ancestor_id) of nodes parsed with their ancestors: a row's own list, so nothing is joined."""
+    return of.select("doc_id", "node_id", F.explode("ancestors").alias("ancestor_id"))
+
+
+def cursor(nodes: DataFrame) -> DataFrame:
+    """nodes with the steps of a cursor: parent_id, first_child_id, next_sibling_id and, in pre-order, next_id; null for none."""
+    sibling = Window.partitionBy("doc_id", "parent_id").orderBy("child_index")
+    steps = nodes.withColumn("next_sibling_id", F.lead("node_id").over(sibling))
+    steps = steps.withColumn("first_child_id", F.when(F.col("subtree_last") > F.col("node_id"), F.col("node_id") + 1))
+    last = Window.partitionBy("doc_id")
+    return steps.withColumn("next_id", F.when(F.col("node_id") < F.max("node_id").over(last), F.col("node_id") + 1))
 
 
 def node_metrics(nodes: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions.detect import COMPOUND, INTERPRETERS
-from tessera.operators.catalog import ALIASES, C_SYMBOLS, FIDELITY, builtin
+from tessera.operators.catalog import C_SYMBOLS, builtin
 from tessera.plans.queries import EXTENSIONS, NAMES, PROGRAMS
 
 
@@ -17,9 +17,11 @@ def _values(rows) -> str:
 
 _EXT = f"ext(e, l) AS (VALUES {_values(sorted(builtin().by_extension.items()))})"
 _CYCLE = lambda values, key: f"[{', '.join(map(_s, values))}][({key} % {len(values)} + 1)::INT]"
-_BACKENDS = sorted({n for names in FIDELITY.values() for n in names} & set(builtin().extensions))
+#: Spelled out here, not taken from the operators.
+_BACKENDS = "c cpp csv cue dtd editorconfig elixir go hcl hocon html ini java javascript json json5 kdl kotlin nginx po properties psv python ruby rust toml tsx typescript xml yaml".split()
+_TARGETS = {"bazel": "starlark", "gradle": "groovy", "ignorefile": "gitignore", "lisp": "commonlisp", "makefile": "make", "shell": "bash"}
 _LANGS = f"langs(name) AS (VALUES {_values([(n,) for n in builtin().extensions])})"
-_ALIASES = f"aliases(a, t) AS (VALUES {_values(sorted(ALIASES.items()))})"
+_ALIASES = f"aliases(a, t) AS (VALUES {_values(sorted(_TARGETS.items()))})"
 _ASKED = f"asked(name) AS (VALUES {_values([(n,) for n in NAMES])})"
 _ALL = f"{_LANGS}, {_ALIASES}, everything AS (SELECT name FROM langs UNION SELECT a FROM aliases JOIN langs ON t = name)"
 

@@ -345,8 +345,8 @@ def q_process_error(spark, d):
     return process(docs).select("doc_id", F.col("error").isNotNull().alias("failed"), "language")
 
 
-def _json_nodes(spark, d) -> DataFrame:
-    return parse_documents(documents(table(spark, d, "customer"), "c_custkey", F.to_json(F.struct("c_custkey", F.struct("c_name").alias("n"))), "json"))
+def _json_nodes(spark, d, ancestors: bool = False) -> DataFrame:
+    return parse_documents(documents(table(spark, d, "customer"), "c_custkey", F.to_json(F.struct("c_custkey", F.struct("c_name").alias("n"))), "json"), ancestors=ancestors)
 
 
 def q_node_metrics(spark, d):
@@ -359,8 +359,8 @@ def q_next_sibling(spark, d):
 
 
 def q_ancestors(spark, d):
-    nodes = _json_nodes(spark, d)
-    return tree.ancestors(nodes, nodes.where("kind = 'string' and field = 'value'")).groupBy("doc_id").agg(F.count("*").alias("n_ancestors"))
+    nodes = _json_nodes(spark, d, ancestors=True)
+    return tree.ancestors(nodes.where("kind = 'string' and field = 'value'")).groupBy("doc_id").agg(F.count("*").alias("n_ancestors"))
 
 
 def q_field_text(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tomllib
 from dataclasses import dataclass, field
@@ -9,7 +10,7 @@ from pathlib import Path
 
 from tessera.errors import ConfigError
 
-FILE, LEVELS = "tessera.toml", 10
+FILE, LEVELS, CACHE_DIR = "tessera.toml", 10, "tessera.cache.dir"
 
 
 @dataclass
@@ -38,11 +39,27 @@ def discover(start: str | Path = ".") -> PackConfig | None:
 
 
 def write(path: str | Path, config: PackConfig) -> None:
-    quoted = lambda names: "[" + ", ".join(f'"{n}"' for n in names) + "]"
-    lines = [f'cache_dir = "{config.cache_dir}"'] * bool(config.cache_dir) + [f"languages = {quoted(config.languages)}"] * bool(config.languages) + [f"groups = {quoted(config.groups)}"] * bool(config.groups)
+    text = lambda x: json.dumps(x, ensure_ascii=False).replace("\x7f", "\\u007f")  # noqa: E731  a TOML basic string is a JSON one
+    quoted = lambda names: "[" + ", ".join(map(text, names)) + "]"
+    lines = [f"cache_dir = {text(config.cache_dir)}"] * bool(config.cache_dir) + [f"languages = {quoted(config.languages)}"] * bool(config.languages) + [f"groups = {quoted(config.groups)}"] * bool(config.groups)
     Path(path).write_text("\n".join(lines) + "\n", encoding="utf-8")
 
 
+def configure(spark, config: PackConfig, catalog) -> list[str]:
+    """Applies a configuration: its cache folder becomes the session's, its languages and then its groups are asked for. The
+    names that are ready, sorted; an unknown one raises."""
+    from tessera.operators.catalog import download_plan
+
+    if config.cache_dir:
+        spark.conf.set(CACHE_DIR, config.cache_dir)
+    return download_plan(catalog, config=config)
+
+
+def cache_dir(spark) -> str:
+    """The session's cache folder, else that of TESSERA_CACHE, else the user's own."""
+    return spark.conf.get(CACHE_DIR, os.environ.get("TESSERA_CACHE", str(Path.home() / ".cache" / "tessera")))
+
+
 def clean_cache(folder: str | Path) -> int:
     """Removes the files of a cache folder; the number removed, 0 for none there."""
     n = 0

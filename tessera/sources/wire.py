@@ -10,6 +10,8 @@ from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from tessera.schemas import FAMILIES
 
+#: Fields whose value may be a name of its own, and where that is.
+OTHERS = {"kind": "kind_other", "format": "format_other"}
 METRICS = ("total_lines", "code_lines", "comment_lines", "blank_lines", "total_bytes", "node_count", "error_count", "max_depth")
 
 
@@ -42,10 +44,16 @@ def _skip_empty(c: Column) -> Column:
 
 def _item(kind: StructType):
     """A family's item as it goes over the wire: empty lists become nulls, which are left out."""
-    names = [f.name for f in kind if f.name != "kind_other"]
+    names = [f.name for f in kind if f.name not in OTHERS.values()]
+    others = {f.name: OTHERS[f.name] for f in kind if f.name in OTHERS and OTHERS[f.name] in kind.names}
+
+    def value(x: Column, f: str) -> Column:
+        if f in others:  # a name, or an object with the name of another kind
+            return F.parse_json(F.when(x[others[f]].isNotNull(), F.to_json(F.struct(x[others[f]].alias("Other")))).otherwise(F.concat(F.lit('"'), x[f], F.lit('"'))))
+        return _skip_empty(x[f]) if f in ("decorators", "items", "parsed_sections") else x[f]
 
     def build(x: Column) -> Column:
-        return F.struct(*[(_skip_empty(x[f]) if f in ("decorators", "items", "parsed_sections") else x[f]).alias(f) for f in names])
+        return F.struct(*[value(x, f).alias(f) for f in names])
 
     return build
 
@@ -59,7 +67,4 @@ def to_wire(processed: DataFrame, pretty: bool = False) -> DataFrame:
             parts.append(_skip_empty(F.transform(name, _item(processed.schema[name].dataType.elementType))).alias(name))
     parts += [_skip_empty(F.col(n)).alias(n) for n in ("chunks", "data") if n in have]
     options = {"pretty": "true"} if pretty else {}
-    out = processed.select("doc_id", F.to_json(F.struct(*parts), options).alias("wire"))
-    if have & {"structure", "symbols", "docstrings"}:
-        out = out.withColumn("wire", F.regexp_replace("wire", r'"kind":"Other"', '"kind":{"Other":"macro"}'))
-    return out
+    return processed.select("doc_id", F.to_json(F.struct(*parts), options).alias("wire"))

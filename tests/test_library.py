@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import cli
 from tessera.errors import DownloadError, LanguageNotFoundError
-from tessera.functions import detect
+from tessera.functions import detect, sql
 from tessera.functions.metrics import metric_columns
 from tessera.operators import catalog
 from tessera.operators.process import ProcessConfig, parse_documents, process
@@ -82,10 +82,39 @@ def test_files(spark, tmp_path):
     assert got == {"a.py": ("python", "x = 1\n", None), "b.rs": ("rust", None, "invalid UTF-8")}
 
 
-def test_config(tmp_path):
-    config.write(tmp_path / config.FILE, config.PackConfig("/c", ["python"], []))
+@pytest.mark.parametrize("folder", ["/c", 'C:\\a "b"', "é\n\x7f"])
+def test_config(tmp_path, folder):
+    config.write(tmp_path / config.FILE, config.PackConfig(folder, ["python"], []))
     (tmp_path / "x" / "y").mkdir(parents=True)
-    assert config.discover(tmp_path / "x" / "y") == config.PackConfig("/c", ["python"], [])
+    assert config.discover(tmp_path / "x" / "y") == config.PackConfig(folder, ["python"], [])
+
+
+def test_sql_functions_as_columns(spark):
+    """The SQL functions and the native expressions are two forms of one thing."""
+    sql.register(spark)
+    paths = ["src/main.rs", "a.PY/", ".gitignore", "..", "x.APP.src", "foo.", "a b.json", "", None, "x.tar.gz"]
+    texts = ["#!/usr/bin/env -S node -x\n", "#! /usr/bin/perl5.30", "#!", "no", "", None, "#!/usr/bin/env FOO=1 python", "#!/bin/sh\nx"]
+    for values, name, expression in ((paths, "tessera_path", detect.from_path), (texts, "tessera_shebang", detect.from_content)):
+        df = spark.createDataFrame([(x,) for x in values], "x string")
+        got = df.select(F.expr(f"{name}(x)").alias("a"), expression(F.col("x")).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got] and any(r.a for r in got)
+
+
+def test_broken_archives(spark, tmp_path):
+    """Members before a break are read; what is no archive gives none."""
+    import tarfile
+
+    (tmp_path / "m.py").write_text("x = 1\n")
+    with tarfile.open(tmp_path / "a.tar", "w") as t:
+        t.add(tmp_path / "m.py", "m.py")
+        t.add(tmp_path / "m.py", "n.txt")
+    whole = (tmp_path / "a.tar").read_bytes()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tar").write_bytes(whole)
+    (tmp_path / "in" / "b.tar").write_bytes(whole[:700])
+    (tmp_path / "in" / "c.tar").write_bytes(b"no archive")
+    got = files.read_archives(spark, str(tmp_path / "in")).collect()
+    assert sorted((r.name, bytes(r.content), r.language) for r in got)[:1] == [("m.py", b"x = 1\n", "python")] and {r.name for r in got} == {"m.py", "n.txt"}
 
 
 def test_cli(tmp_path, capsys):

@@ -4,8 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans.oracles import ORACLE_SQL
-from tessera.plans.queries import QUERIES
+from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

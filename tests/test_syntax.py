@@ -5,7 +5,8 @@ from hypothesis import strategies as st
 
 from tessera.operators import chunk, intel
 from tessera.operators.process import ProcessConfig, process_text
-from tessera.operators.syntax import parse
+from tessera.operators.syntax import parse, records
+from tessera.operators.syntax.base import paths
 
 PY = '"""mod"""\nimport os\n# hi\n@dec\nclass A(B):\n    """doc"""\n\n    def m(self):\n        return 1\n\n    async def n(self): pass\n\n\ndef f():\n    pass\n'
 
@@ -30,7 +31,7 @@ def test_python():
 
 
 def test_broken_python():
-    got = process_text("def broken(\n    pass\n", "python", ProcessConfig().all())
+    got = process_text("def half_open(a,\n    return a\n", "python", ProcessConfig().all())
     assert got["error_count"] == len(got["diagnostics"]) == 1
 
 
@@ -58,6 +59,36 @@ def test_java_kotlin_rust_ruby_elixir():
     assert [r["source"] for r in got["imports"]] == ["use X"]
 
 
+def test_chunk_metadata():
+    """Kinds of the top level, named or not, in the order they come; errors of all chunks that a broken node overlaps."""
+    text = "import os\n" + "def f():\n    return 1\n" * 3
+    d = intel.Document(text, "python", parse(text, "python"))
+    one = chunk.chunks(d, 10_000)
+    assert len(one) == 1 and one[0]["node_types"] == ["module", "import_statement", "function_definition"] and one[0]["symbols_defined"] == ["f"] * 3
+    many = chunk.chunks(d, 25)
+    assert len(many) > 2 and not any("module" in c["node_types"] for c in many) and sum("f" in c["symbols_defined"] for c in many) >= 3
+    inner = chunk.chunks(d, 12)
+    assert any(c["context_path"] == ["f"] for c in inner)
+    whole = intel.Document("# a\nx = 1\n", "python", parse("# a\nx = 1\n", "python"))
+    assert chunk.chunks(whole, 100)[0]["comments"][0]["associated_node"] == "expression_statement"
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sampled_from(sorted(records.KINDS)), st.text(alphabet="{}[]<>=:;,|#\"'/-\n\t abé1", max_size=60))
+def test_record_trees(language, text):
+    nodes = parse(text, language)
+    for n in nodes[1:]:
+        assert nodes[n.parent].start <= n.start <= n.end <= nodes[n.parent].end
+    assert not any(n.error for n in nodes)
+
+
+def test_ancestor_paths():
+    nodes = parse('{"a": [1]}', "json")
+    above = paths(nodes)
+    for i, n in enumerate(nodes):
+        assert len(above[i]) == n.depth and all(nodes[a].subtree_last >= i for a in above[i])
+
+
 def test_sexp():
     assert intel.to_sexp(parse('{"a": 1}', "json")) == "(document (object (pair key: (string) value: (number))))"
 
@@ -79,7 +110,7 @@ def test_trees_and_chunks_of_any_text(language, text, most):
 
 
 def test_split_edges():
-    assert chunk.split("aaaa😀😀".encode(), 6) == [(0, 4), (4, 8), (8, 12)]
+    assert chunk.split("abc🍏🍏d".encode(), 5) == [(0, 3), (3, 7), (7, 12)]
     assert chunk.split(b"", 5) == [] and chunk.split(b"ab", 0) == []
     assert chunk.split(b"ab", 5) == [(0, 2)]
 
