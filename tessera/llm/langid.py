@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import narrow
 
-#: The bounded sample that is fitted on: documents of each language, and characters of each from a place set by its hash.
-DOCS_PER_LANGUAGE, CHARS_PER_DOC = 160, 6_000
+#: The bounded sample that is fitted on: labelled documents of each language, and windows drawn from all over each whole text.
+DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 160, 96
 HIDDEN, WINDOW, STEPS, BATCH = 8, 64, 420, 96
 SEGMENT, ABREAST = 128, 2_048
 PAD = 256
@@ -187,17 +187,19 @@ class BiGRU:
 
 
 def train(labelled: DataFrame) -> BiGRU | None:
-    """A network from labelled(doc_id, text, lang): at most DOCS_PER_LANGUAGE documents of each language, CHARS_PER_DOC of each."""
+    """A network from labelled(doc_id, text, lang): at most DOCS_PER_LANGUAGE documents of each language, those whose ids' hashes come
+    first, and WINDOWS_PER_DOC windows of each, at places that its hashes give. Rows without a language or text are passed over."""
     rows = narrow(labelled, doc_id="long", text="string", lang="string").where("lang is not null and text is not null and text <> ''")
-    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - CHARS_PER_DOC, F.lit(0)) + 1).cast("int") + 1
-    rows = rows.select("lang", "doc_id", F.substr("text", place, F.lit(CHARS_PER_DOC)).alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANGUAGE).orderBy("lang", "k").collect()
+    rows = rows.select("lang", "doc_id", "text").withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANGUAGE)
+    last = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
+    windows = F.transform(F.sequence(F.lit(1), F.lit(WINDOWS_PER_DOC)), lambda i: F.substr("text", F.pmod(F.xxhash64("doc_id", i), last).cast("int") + 1, F.lit(WINDOW)))
+    sample = rows.select("lang", "k", windows.alias("windows")).orderBy("lang", "k").collect()
     if not sample:
         return None
     languages = sorted({r.lang for r in sample})
     net = BiGRU(languages)
-    net.fit([r.text.encode("utf-8", "replace") for r in sample], [languages.index(r.lang) for r in sample])
+    net.fit([w.encode("utf-8", "replace") for r in sample for w in r.windows], [languages.index(r.lang) for r in sample for _ in r.windows])
     return net
 
 

@@ -1,7 +1,7 @@
 """Licence scans by canonical digest lookup, in DataFrame functions only.
 
-canonical() lower-cases a text, drops copyright lines, turns every run of punctuation and spaces into one space and evens out
-equivalent spellings. The digest of a whole canonical text is hash-joined to the digests of known licences; the lines of a text
+canonical() lower-cases a text, drops copyright lines (with a year or a sign: a line of the licence itself may begin with the
+word), turns every run of punctuation and spaces into one space and evens out equivalent spellings, across line ends too. The digest of a whole canonical text is hash-joined to the digests of known licences; the lines of a text
 are looked up in the same way among known one-line notices. Known texts are a parameter; a table of them is broadcast only
 under KNOWN_LIMIT rows.
 """
@@ -30,7 +30,8 @@ SPELLINGS = (
     ("whilst", "while"),
     ("https", "http"),
 )
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
+#: The word before a sign, a year or a place for one; a sign; the letter before a year.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright(ed)?( by)?[^\p{L}\p{N}\n(©]*(\(c\)|©|[0-9]{4}|[\[<{](yyyy|year))|©|\(c\)[^\p{L}\p{N}\n]*[0-9]{4})[^\n]*$"
 NOT_WORDS = r"[^\p{L}\p{N}\n]+"
 AROUND_LINE = r" ?\n ?"
 
@@ -185,7 +186,11 @@ def canonical_lines(text: Column) -> Column:
 
 def whole(lines: Column) -> Column:
     """canonical_lines() as one line."""
-    return F.trim(F.regexp_replace(lines, r"\n+", " "))
+    out = F.regexp_replace(lines, r"\n+", " ")
+    for a, b in SPELLINGS:
+        if " " in a:  # it may have been parted by a line end
+            out = F.replace(out, F.lit(a), F.lit(b))
+    return F.trim(out)
 
 
 def canonical(text: Column) -> Column:
@@ -237,7 +242,11 @@ def canonical_sql(text: str) -> str:
 
 
 def whole_sql(lines: str) -> str:
-    return f"trim(regexp_replace({lines}, chr(10) || '+', ' ', 'g'), ' ')"
+    out = f"regexp_replace({lines}, chr(10) || '+', ' ', 'g')"
+    for a, b in SPELLINGS:
+        if " " in a:
+            out = f"replace({out}, {sql_string(a)}, {sql_string(b)})"
+    return f"trim({out}, ' ')"
 
 
 def oracle_sql() -> str:

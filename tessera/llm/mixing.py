@@ -3,10 +3,11 @@
 A classifier fitted on the labels table gives each document posteriors over domains, p_dk. With t_d tokens and rate r_d, domain
 k is expected to get sum_d r_d t_d p_dk tokens; rates minimise the squared distance of these totals to the targets, by
 projected gradient over all documents. With e = totals - targets, M = sum_d t_d p_d p_d' and distances taken in the norm of
-the inverse of M, the step is r_d <- max(r_d - p_d . M^-1 e, 0). Its Lipschitz constant is 1 by construction. Rates have no upper
-bound unless a caller gives one; what is left between totals and targets is logged. A step
-needs K sums of one pass over a narrow table, and a document's rate follows from its posteriors and the K-vectors of the steps
-so far, so no state is kept for documents between passes, and a lost executor costs the part of one pass.
+the inverse of M, the step is r_d <- max(y_d - p_d . M^-1 e, 0). Its Lipschitz constant is 1 by construction; y_d is r_d with the
+momentum of the last step (accelerated projected gradient), which begins anew where it points uphill. Rates have no upper bound
+unless a caller gives one; what is left between totals and targets is logged. A step needs a few sums of one pass over a narrow
+table, and a document's rate follows from its posteriors and the K-vectors of the steps so far, so no state is kept for documents
+between passes, and a lost executor costs the part of one pass.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ RIDGE = 0.4
 DOMAINS = ("high", "low", "toxic")
 LOG = logging.getLogger(__name__)
 #: Fixed-point steps at most, and the change of the totals, against all tokens, that ends them. Damping, against M's diagonal.
-STEPS, ENOUGH, DAMP = 40, 1e-5, 0.02
+STEPS, ENOUGH, DAMP = 60, 1e-5, 0.02
 
 
 class _Memo(dict):
@@ -134,41 +135,54 @@ def memberships(docs: DataFrame, model: Domains) -> DataFrame:
     return narrow(docs, doc_id="long", text="string").mapInArrow(_memberships(model), schema)
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray], most: float, bounds=None) -> np.ndarray:
-    """The rate of each row of posteriors after these steps; all begin at 1. bounds: a function of p that gives each row's, instead."""
+def _walk(p: np.ndarray, steps: list[tuple[np.ndarray, float]], most: float, bounds=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rates of rows of posteriors after these steps (gradient, momentum after it), those before the last one, and the point it
+    was taken from."""
     low, high = (0.0, most) if bounds is None else bounds(p)
-    r = np.clip(np.ones(len(p)), low, high)
-    for g in steps:
-        r = np.clip(r - p @ g, low, high)
-    return r
+    r = y = before = at = np.clip(np.ones(len(p)), low, high)
+    for g, momentum in steps:
+        before, at = r, y
+        r = np.clip(y - p @ g, low, high)
+        y = r + momentum * (r - before) if momentum else r
+    return r, before, at
+
 
+def rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]], most: float, bounds=None) -> np.ndarray:
+    """The rate of each row of posteriors after these steps; all begin at 1. bounds: a function of p that gives each row's, instead."""
+    return _walk(p, steps, most, bounds)[0]
 
-def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, float] | None = None, budget: float | None = None, most: float = math.inf, totals: dict[str, float] | None = None, bounds=None) -> list[np.ndarray]:
-    """The K-vectors of the steps. targets: shares of `budget` tokens (all tokens there are, if None); totals: tokens, instead.
+
+def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, float] | None = None, budget: float | None = None, most: float = math.inf, totals: dict[str, float] | None = None, bounds=None) -> list[tuple[np.ndarray, float]]:
+    """The steps: K-vectors, each with the momentum after it. targets: shares of `budget` tokens (all tokens there are, if None); totals: tokens, instead.
 
     The totals reached, the goals and their differences go to the log, as a warning where they miss by over a thousandth of all tokens.
     """
     k = len(names)
     at = ["tokens", *(f"p_{n}" for n in names)]
-    names_of_sums = [f"s{i}" for i in range(k + k * k)]
+    names_of_sums = [f"s{i}" for i in range(2 * k + 1 + k * k)]
+
+    def sums(steps: list[tuple[np.ndarray, float]]):
+        """Totals of the rates and of the rates before, how far the last step went against its momentum, and M at first."""
 
-    def sums(steps: list[np.ndarray]):
         def run(batches):
-            first, second = np.zeros(k), np.zeros((k, k))
+            first, last, uphill, second = np.zeros(k), np.zeros(k), 0.0, np.zeros((k, k))
             for batch in batches:
                 t, *p = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in at)
                 p = np.stack(p, 1)
                 tp = p * t[:, None]
-                first += rates(p, steps, most, bounds) @ tp
+                r, before, at_ = _walk(p, steps, most, bounds)
+                first += r @ tp
+                last += before @ tp
+                uphill += ((at_ - r) * (r - before)) @ t
                 if not steps:
                     second += p.T @ tp
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*first, *second.ravel())], names_of_sums)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*first, *last, uphill, *second.ravel())], names_of_sums)
 
         row = members.select(*at).mapInArrow(run, ", ".join(f"{n} double" for n in names_of_sums)).agg(*[F.sum(n).alias(n) for n in names_of_sums]).first()
         out = np.array([x or 0.0 for x in row])
-        return out[:k], out[k:].reshape(k, k)
+        return out[:k], out[k : 2 * k], out[2 * k], out[2 * k + 1 :].reshape(k, k)
 
-    now, m = sums([])
+    now, _, _, m = sums([])
     everything = now.sum()
     if everything <= 0:
         return []
@@ -179,14 +193,19 @@ def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, flo
         goal *= (everything if budget is None else budget) / max(goal.sum(), 1e-12)
     # Against the diagonal, so that a domain of few tokens gets near its goal in as many steps as a large one.
     inverse = np.linalg.inv(m + np.diag(DAMP * np.diag(m) + 1e-9 * everything))
-    steps: list[np.ndarray] = []
+    steps: list[tuple[np.ndarray, float]] = []
+    ahead, speed = now, 1.0  # the totals at the point that the next step is taken from
     for _ in range(STEPS):
-        steps.append(inverse @ (now - goal))
-        new, _ = sums(steps)
+        steps.append((inverse @ (ahead - goal), 0.0))
+        new, before, uphill, _ = sums(steps)
         done = np.abs(new - now).max() <= ENOUGH * everything or np.abs(new - goal).max() <= ENOUGH * everything
         now = new
         if done:
             break
+        last, speed = (1.0, 1.0) if uphill > 0 else (speed, (1 + math.sqrt(1 + 4 * speed * speed)) / 2)
+        momentum = (last - 1) / speed
+        steps[-1] = (steps[-1][0], momentum)
+        ahead = new + momentum * (new - before)
     level = logging.WARNING if np.abs(now - goal).max() > 1e-3 * everything else logging.INFO
     for name, got, want in zip(names, now, goal, strict=True):
         LOG.log(level, "domain %s: %.0f expected tokens, goal %.0f, residual %.0f", name, got, want, got - want)

@@ -142,7 +142,30 @@ def test_chat_edges(spark):
     assert chat.digest(chat.format_turns(df.limit(0))).count() == 0
     s = chat.loss_spans(turns).first()
     body = turns.where("role = 'assistant'").first().formatted[s.start : s.end]
-    assert chat.unescape(body) == "</s>"
+    assert chat.read_body(body, s.mark) == "</s>"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, "user", "assistant"]), CHAT), max_size=5), st.lists(st.integers(1, 9), min_size=1, max_size=6), st.sampled_from(chat.MARKS[1:]))
+def test_stream_and_mask(turns, sizes, last):
+    """The parser gives the same turns for any pieces of a text, and the mask's spans cut out what assistants say, under any mark."""
+    rendered = [chat.round_trip(r, t)[0] if i % 2 else chat.render(r, t, last) for i, (r, t) in enumerate(turns)]
+    text, at, got, reader = "".join(rendered), 0, [], chat.Reader()
+    while at < len(text):
+        size = sizes[len(got) % len(sizes)]
+        got += reader.feed(text[at : at + size])
+        at += size
+    assert [(t.role, t.text) for t in got] == turns and not reader.held
+    assert [chat.read_body(text[a:b], m) for a, b, m in chat.mask(got)] == chat.masked(got) == [t for r, t in turns if r == "assistant"]
+    assert chat.parse(text + "x") is None and chat.parse(text[:-1] or "[") is None
+
+
+def test_very_long_conversation(spark):
+    """Thousands of turns, one of them very long, are one stream."""
+    rows = [(1, i, "user" if i % 2 else "assistant", "w[INST]" * (200_000 if i == 7 else i % 5)) for i in range(3000)]
+    got = chat.digest(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got.n_turns == 3000 and got.loss_chars == sum(len(t) for _, _, r, t in rows if r == "assistant")
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
 
 
 def test_png_and_tar():
@@ -235,6 +258,39 @@ def test_license_texts(spark):
     assert license.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """A licence is found however its lines are wrapped, with a line that begins with the word copyright too, and under any holder."""
+    import textwrap
+
+    rows, want = [], []
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "0BSD"):
+        body = [t for i, t in license.LICENSES if i == name][-1]
+        for width in (40, 57, 66, 72, 79, 200):
+            for head in ("", "Copyright (c) 2019-2024 Some One <one@x.org>\n\n", "Copyright 2001, 2002 A\nCopyright © B\n"):
+                rows.append(head + "\n\n".join(textwrap.fill(p, width) for p in body.split("\n\n")))
+                want.append(name)
+    assert any(line.lower().startswith("copyright notice") for r in rows for line in r.split("\n"))
+    got = {r.doc_id: r.license_id for r in license.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_licenses_by_the_query(spark, tmp_path):
+    """The registered query finds whole licences among documents, as its SQL does."""
+    import duckdb
+
+    from tessera.llm.q_license import ORACLE_SQL, op2_license_scan
+
+    texts = [dict(license.LICENSES)[n] for n in ("Apache-2.0", "GPL-2.0", "MPL-2.0", "CC0-1.0")] + [license.LICENSES[0][1] + "\nmore", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.license_id for r in op2_license_scan(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.execute(ORACLE_SQL["op2_license_scan"])
+    at = [c[0] for c in sql.description]
+    assert got == {r[at.index("doc_id")]: r[at.index("license_id")] for r in sql.fetchall()}
+    assert [got[i] for i in range(7)] == ["Apache-2.0", "GPL-2.0", "MPL-2.0", "CC0-1.0", None, None, None]
+
+
 def test_known_licenses_are_whole(spark):
     """Whole texts under the titles they are found with; a cut one is not the licence."""
     mit = next(t for i, t in license.LICENSES if i == "MIT").split("\n\n", 1)[1]
