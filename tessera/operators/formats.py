@@ -551,6 +551,8 @@ def yaml(text: str, out: Out) -> None:
                 i += 1
                 stop = e
         value = text[at:stop]
+        if quoted := re.match(r"""(?s)"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'""", value):  # a comment mark may be in it
+            return quoted[0], stop
         return (value if block else _YAML_NOTE.sub("", value).rstrip()), stop
 
     def flow_pairs(value: str, at: int) -> None:

@@ -140,9 +140,14 @@ def as_text(docs: DataFrame) -> DataFrame:
 
 
 def _spread(docs: DataFrame) -> DataFrame:
-    """docs in as many partitions as there are cores, if they are in fewer; large inputs have more and stay as they are."""
+    """docs in as many partitions as there are cores, if they are in fewer; large inputs have more and stay as they are.
+
+    Only plans without a shuffle are asked how many they have: to ask others would run them up to their last one.
+    """
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.isStreaming or docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    if docs.isStreaming or docs._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return docs
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
 def _map(docs: DataFrame, schema: str, rows, kept: tuple[str, ...] = ()) -> DataFrame:

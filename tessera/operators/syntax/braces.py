@@ -11,6 +11,12 @@ _TOKENS = re.compile(
     r"""|(?P<end>\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<directive>(?<![^\n])[ \t]*\#[^\n]*)|(?P<word>[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<mark>.)""",
     re.S,
 )
+#: The same where # begins a comment, and strings may go on over lines.
+_HASH_TOKENS = re.compile(
+    r"""(?P<space>[ \t\f\r]+)|(?P<comment>(?<![^\s;(){}])\#[^\n]*)|(?P<string>"(?:[^"\\]|\\.)*"?|'[^']*'?|`(?:[^`\\]|\\.)*`?)"""
+    r"""|(?P<end>\n)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<word>[^\W\d][\w-]*)|(?P<number>\d[\w.]*)|(?P<mark>\\.|.)""",
+    re.S,
+)
 _N = r"(?P<name>[^\W\d]\w*)"
 _JS = [
     (r"import\b(?!\s*[(.])", "import_statement"),
@@ -25,6 +31,9 @@ _JS = [
     (rf"var\s+{_N}?", "variable_declaration"),
 ]
 _MODIFIERS = r"(?:(?:public|private|protected|internal|static|final|abstract|open|override|sealed|data|inline|suspend|synchronized|native|default|strictfp|companion|@[\w.]+(?:\([^)]*\))?)\s+)*"
+_MODIFIERS_CS = r"(?:(?:public|private|protected|internal|static|sealed|abstract|override|virtual|async|partial|readonly|extern|unsafe|new|\[[^\]]*\])\s+)*"
+_MODIFIERS_SWIFT = r"(?:(?:public|private|fileprivate|internal|open|static|final|override|mutating|lazy|weak|indirect|@\w+(?:\([^)]*\))?)\s+)*"
+_MODIFIERS_SCALA = r"(?:(?:private|protected|implicit|override|final|sealed|abstract|lazy|@\w+)(?:\[\w+\])?\s+)*"
 #: Beginning of a statement -> node kind, in the order they are tried.
 LANGUAGES: dict[str, list[tuple[str, str]]] = {
     "javascript": _JS,
@@ -68,6 +77,54 @@ LANGUAGES: dict[str, list[tuple[str, str]]] = {
         (rf"(?:pub(?:\([^)]*\))?\s+)?type\s+{_N}", "type_item"),
         (r"let\b", "let_declaration"),
     ],
+    "csharp": [
+        (r"(?:global\s+)?using\b(?!\s*\()", "using_directive"),
+        (r"namespace\s+(?P<name>[\w.]+)", "namespace_declaration"),
+        (rf"{_MODIFIERS_CS}class\s+{_N}", "class_declaration"),
+        (rf"{_MODIFIERS_CS}interface\s+{_N}", "interface_declaration"),
+        (rf"{_MODIFIERS_CS}struct\s+{_N}", "struct_declaration"),
+        (rf"{_MODIFIERS_CS}enum\s+{_N}", "enum_declaration"),
+        (rf"{_MODIFIERS_CS}record\s+(?:class\s+|struct\s+)?{_N}", "record_declaration"),
+        (rf"{_MODIFIERS_CS}(?!(?:return|new|throw|else|if|for|foreach|while|switch|await|lock|using)\b)[\w.<>,\[\]?]+(?:\s*\[\])*\s+{_N}\s*(?:<[^>]*>)?\s*\(", "method_declaration"),
+    ],
+    "php": [
+        (r"namespace\s+(?P<name>[\w\\]+)", "namespace_definition"),
+        (r"use\b(?!\s*\()", "namespace_use_declaration"),
+        (rf"(?:(?:abstract|final|readonly)\s+)*class\s+{_N}", "class_declaration"),
+        (rf"interface\s+{_N}", "interface_declaration"),
+        (rf"trait\s+{_N}", "trait_declaration"),
+        (rf"enum\s+{_N}", "enum_declaration"),
+        (rf"(?:(?:public|private|protected|static|abstract|final)\s+)+function\s*&?\s*{_N}", "method_declaration"),
+        (rf"function\s*&?\s*{_N}", "function_definition"),
+    ],
+    "swift": [
+        (r"import\b", "import_declaration"),
+        (rf"{_MODIFIERS_SWIFT}protocol\s+{_N}", "protocol_declaration"),
+        (rf"{_MODIFIERS_SWIFT}(?:class|struct|enum|actor|extension)\s+(?!func\b|var\b){_N}", "class_declaration"),
+        (rf"{_MODIFIERS_SWIFT}func\s+{_N}", "function_declaration"),
+        (rf"{_MODIFIERS_SWIFT}(?:var|let)\s+{_N}", "property_declaration"),
+    ],
+    "scala": [
+        (r"package\b", "package_clause"),
+        (r"import\b", "import_declaration"),
+        (rf"{_MODIFIERS_SCALA}(?:case\s+)?class\s+{_N}", "class_definition"),
+        (rf"{_MODIFIERS_SCALA}(?:case\s+)?object\s+{_N}", "object_definition"),
+        (rf"{_MODIFIERS_SCALA}trait\s+{_N}", "trait_definition"),
+        (rf"{_MODIFIERS_SCALA}def\s+{_N}", "function_definition"),
+        (rf"{_MODIFIERS_SCALA}val\s+{_N}", "val_definition"),
+    ],
+    "css": [
+        (r"@import\b", "import_statement"),
+        (r"@media\b", "media_statement"),
+        (r"@[\w-]+", "at_rule"),
+        (r"[^{;]+\{", "rule_set"),
+        (r"[\w-]+\s*:", "declaration"),
+    ],
+    "bash": [
+        (r"function\s+(?P<name>[\w-]+)", "function_definition"),
+        (r"(?P<name>[\w-]+)\s*\(\s*\)", "function_definition"),
+        (r"[^\W\d]\w*=", "variable_assignment"),
+    ],
     "c": [
         (r"typedef\b", "type_definition"),
         (rf"struct\s+{_N}\s*\{{", "struct_specifier"),
@@ -85,17 +142,24 @@ LANGUAGES: dict[str, list[tuple[str, str]]] = {
 _TYPE_NAMED = {"impl_item", "struct_item", "enum_item", "trait_item", "type_item", "class_specifier", "struct_specifier"}
 #: Of these a name is a child, not the field `name`.
 _UNNAMED_FIELD = {"impl_item", "lexical_declaration", "variable_declaration", "function_definition", "property_declaration"}
-_ROOT = {"javascript": "program", "typescript": "program", "tsx": "program", "java": "program", "c": "translation_unit", "cpp": "translation_unit"}
+_HASH = {"bash", "php"}
+_NAMED_FUNCTIONS = {"php", "bash", "scala"}
+_ROOT = {"csharp": "compilation_unit", "scala": "compilation_unit", "php": "program", "bash": "program", "css": "stylesheet", "javascript": "program", "typescript": "program", "tsx": "program", "java": "program", "c": "translation_unit", "cpp": "translation_unit"}
 _BODY = {"class_declaration": "class_body", "interface_declaration": "interface_body", "enum_declaration": "enum_body", "class_specifier": "field_declaration_list", "struct_specifier": "field_declaration_list", "impl_item": "declaration_list", "trait_item": "declaration_list", "mod_item": "declaration_list", "struct_item": "field_declaration_list", "enum_item": "enum_variant_list"}
 _METHOD = re.compile(rf"(?:(?:static|async|get|set|public|private|protected|readonly|override|abstract)\s+)*[*#]?\s*{_N}\s*(?:<[^>]*>)?\s*\(")
 _GOES_ON = re.compile(r"[,;).:=?\]]|(?:else|catch|finally|while|from|as)\b")
-_SEMICOLONS = {"c", "cpp", "java", "rust"}
+_SEMICOLONS = {"c", "cpp", "java", "rust", "csharp", "php", "css"}
 _SINGLE = {"(": ")", "[": "]", "{": "}"}
 
 
 def parse(text: str, language: str) -> Node:
     root = Node(_ROOT.get(language, "source_file"), 0, len(text))
-    toks = [t for t in tokens(text, _TOKENS)]
+    if language == "php" and (tag := re.match(r"\s*<\?php\b", text)):
+        root.add("php_tag", tag.end() - 5, tag.end())
+        text = " " * tag.end() + text[tag.end() :]
+    toks = tokens(text, _HASH_TOKENS if language == "bash" else _TOKENS)
+    if language in _HASH:
+        toks = [Token("comment", t.end - len(t.text.lstrip()), t.end, t.text.lstrip()) if t.kind == "directive" else t for t in toks]
     comments = [t for t in toks if t.kind == "comment"]
     code = [t for t in toks if t.kind != "comment"]
     pairs, wrong = match_brackets(code)
@@ -191,7 +255,7 @@ def _classify(text: str, code: list[Token], i: int, end: int, brace: int | None,
         if m:
             break
     else:
-        return into.add("expression_statement", start, stop)
+        return into.add("command" if language == "bash" else "expression_statement", start, stop)
     node = into.add(kind, start, stop)
     name = m.groupdict().get("name")
     if kind in ("lexical_declaration", "variable_declaration") and name:
@@ -201,13 +265,13 @@ def _classify(text: str, code: list[Token], i: int, end: int, brace: int | None,
             at = start + head.index("=", m.end("name") - 0) + 1
             at += len(text[at:stop]) - len(text[at:stop].lstrip())
             d.add("arrow_function", at, stop, field="value")
-    elif kind == "function_definition":
+    elif kind == "function_definition" and language in ("c", "cpp"):
         found = re.search(r"([\w~:]+)\s*\(", head)
         if found:
             d = node.add("function_declarator", start + found.start(), start + head.rindex(")") + 1, field="declarator")
             d.add("identifier", start + found.start(1), start + found.end(1), field="declarator")
     elif name:
-        node.add("type_identifier" if kind in _TYPE_NAMED else "identifier", start + m.start("name"), start + m.end("name"), field=None if kind in _UNNAMED_FIELD else "name")
+        node.add("type_identifier" if kind in _TYPE_NAMED else "identifier", start + m.start("name"), start + m.end("name"), field=None if kind in _UNNAMED_FIELD and language not in _NAMED_FUNCTIONS else "name")
     elif kind in ("package_declaration", "package_header"):
         found = re.compile(r"\s+([\w.]+)").match(head, m.end())
         if found:

@@ -18,7 +18,7 @@ def _values(rows) -> str:
 _EXT = f"ext(e, l) AS (VALUES {_values(sorted(builtin().by_extension.items()))})"
 _CYCLE = lambda values, key: f"[{', '.join(map(_s, values))}][({key} % {len(values)} + 1)::INT]"
 #: Spelled out here, not taken from the operators.
-_BACKENDS = "c cpp csv cue dtd editorconfig elixir go hcl hocon html ini java javascript json json5 kdl kotlin nginx po properties psv python ruby rust toml tsx typescript xml yaml".split()
+_BACKENDS = "bash c cpp csharp csv css cue dtd editorconfig elixir go hcl hocon html ini java javascript json json5 kdl kotlin nginx php po properties psv python ruby rust scala swift toml tsx typescript xml yaml".split()
 _TARGETS = {"bazel": "starlark", "gradle": "groovy", "ignorefile": "gitignore", "lisp": "commonlisp", "makefile": "make", "shell": "bash"}
 _LANGS = f"langs(name) AS (VALUES {_values([(n,) for n in builtin().extensions])})"
 _ALIASES = f"aliases(a, t) AS (VALUES {_values(sorted(_TARGETS.items()))})"

@@ -281,7 +281,7 @@ ORACLE_SQL = {
     "q_ambiguity": f"SELECT s_suppkey, CASE {_CYCLE(('h', 'M', 'py', 'v'), 's_suppkey')} WHEN 'h' THEN 'cpp objc' WHEN 'M' THEN 'matlab' WHEN 'v' THEN '' END AS others FROM supplier",
     "q_cli": """SELECT * FROM (VALUES ('list', 0, 'javascript' || chr(10) || 'typescript'), ('unknown', 1, 'error: no language found; give one with --language'), ('download', 0, 'bash' || chr(10) || 'go'),
 ('parse', 0, '{"language": "python", "sexp": "(module (import_statement) (function_definition name: (identifier) parameters: (parameters) body: (block (pass_statement))))", "has_errors": false}'),
-('process', 0, '[''f''] [] 1'), ('process all', 0, '[''import os''] [''f'']'), ('info', 0, '{"name": "shell", "known": true, "backend": false}'), ('bad bytes', 1, '')) v(command, code, out)""",
+('process', 0, '[''f''] [] 1'), ('process all', 0, '[''import os''] [''f'']'), ('info', 0, '{"name": "shell", "known": true, "backend": true}'), ('bad bytes', 1, '')) v(command, code, out)""",
     "q_errors": "SELECT CASE WHEN s_suppkey % 3 <> 0 THEN 'LanguageNotFoundError' END AS error, count(*) AS n, count(*)::BIGINT AS total_lines FROM supplier GROUP BY 1",
     "q_sql_functions": f"SELECT p_partkey, CASE {_CYCLE(EXTENSIONS, 'p_partkey')} WHEN 'py' THEN 'python' WHEN 'RS' THEN 'rust' WHEN 'js' THEN 'javascript' WHEN 'Go' THEN 'go' WHEN 'java' THEN 'java' WHEN 'app.src' THEN 'erlang' WHEN 'json' THEN 'json' END AS by_path, 'python' AS by_text, 'bash' AS alias FROM part",
     "q_sql_tables": "SELECT s_suppkey, w AS what, k || CASE WHEN w = 'chunk' THEN s_suppkey::VARCHAR ELSE '' END AS kind, CASE w WHEN 'structure' THEN 'C' || s_suppkey WHEN 'data' THEN s_suppkey::VARCHAR WHEN 'chunk' THEN 'class C' || s_suppkey || ':' || chr(10) || '    pass' || chr(10) END AS value FROM supplier, (VALUES ('structure', 'Class'), ('data', 'k'), ('chunk', 'C'), ('parse', 'module')) v(w, k)",

@@ -53,6 +53,48 @@ def q_structure_go(spark, d):
     return _structure(_suppliers(spark, d, join("package main\n\nfunc f", k, "() {\n}\n\nfunc (t T) m", k, "() {\n}\n"), "go"))
 
 
+def q_structure_csharp(spark, d):
+    k = _key()
+    return _structure(_suppliers(spark, d, join("using System;\n\nnamespace N", k, "\n{\n    // note\n    public class C", k, " : Base\n    {\n        public async Task<int> M", k, "(int a)\n        {\n            return a;\n        }\n    }\n\n    enum E", k, " { One }\n    struct S", k, " { }\n}\n"), "csharp"))
+
+
+def q_structure_php(spark, d):
+    k = _key()
+    return _structure(_suppliers(spark, d, join("<?php\nnamespace A;\nuse B\\C;\n\nclass C", k, " extends D {\n    public function m", k, "($a) {\n        return $a;\n    }\n}\n\nfunction f", k, "($x) {\n    return $x;\n}\n"), "php"))
+
+
+def q_structure_swift(spark, d):
+    k = _key()
+    return _structure(_suppliers(spark, d, join("import Foundation\n\nclass C", k, ": P {\n    var x = 1\n    func m", k, "(a: Int) -> Int {\n        return a\n    }\n}\n\nfunc f", k, "() {\n}\n"), "swift"))
+
+
+def q_structure_scala(spark, d):
+    k = _key()
+    return _structure(_suppliers(spark, d, join("package a.b\n\nclass C", k, "(x: Int) {\n  def m", k, "(a: Int): Int = {\n    a\n  }\n}\n\nobject O", k, " {\n}\n"), "scala"))
+
+
+def q_structure_bash(spark, d):
+    k = _key()
+    return _structure(_suppliers(spark, d, join("#!/bin/bash\n# note\nx=", k, "\nfunction f", k, " {\n  echo \"a # b\"\n}\n\ng", k, "() {\n  ls | wc\n}\n"), "bash"))
+
+
+def q_comments_many(spark, d):
+    """Comments of languages with other marks for them, and none of what is in strings."""
+    k = _key()
+    texts = {"bash": join("#!/bin/sh\necho \"# in\" # out ", k, "\n"), "php": join("<?php\n# one ", k, "\n// two\n$x = '# in';\n"), "css": join("/* c ", k, " */\na { color: red; }\n"), "csharp": join("// c ", k, "\nint x = 1; /* d */\n")}
+    s = table(spark, d, "supplier")
+    out = None
+    for language, text in texts.items():
+        one = family(_families(documents(s, "s_suppkey", text, language), "comments"), "comments").select("doc_id", F.lit(language).alias("language"), "ordinal", "text")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def q_tree_css(spark, d):
+    k = _key()
+    return _kinds(_suppliers(spark, d, join("@import url('a", k, ".css');\n/* c */\nbody, p > a {\n  color: red;\n  margin: ", k, "px\n}\n@media (max-width: 9px) {\n  p { color: blue; }\n}\n"), "css"))
+
+
 def _elixir(spark, d) -> DataFrame:
     k = _key()
     return _suppliers(spark, d, join("defmodule A", k, " do\n  use X", k, "\n  alias Y.Z\n\n  defstruct [:a]\n\n  def f", k, "(x) when x > 1 do\n    x\n  end\n\n  defp g", k, "(y), do: y\n\n  defmacro m", k, "(z) do\n    quote do\n      import Hidden\n    end\n  end\nend\n"), "elixir")
@@ -280,6 +322,13 @@ ORACLE_SQL = {
     "q_structure_typescript": _items((0, None, "Interface", None, "I", None), (1, None, "Class", None, "C", None), (2, 1, "Method", None, "m", None), (3, None, "Function", None, "f", None)),
     "q_structure_ruby": _items((0, None, "Module", None, "M", None), (1, 0, "Class", None, "A", None), (2, 1, "Method", None, "m", None), (3, 1, "Method", None, "s", None)),
     "q_structure_go": _items((0, None, "Function", None, "f", None), (1, None, "Method", None, "m", None)),
+    "q_structure_csharp": _items((0, None, "Class", None, "C", None), (1, 0, "Method", None, "M", None), (2, None, "Enum", None, "E", None), (3, None, "Struct", None, "S", None)),
+    "q_structure_php": _items((0, None, "Class", None, "C", None), (1, 0, "Method", None, "m", None), (2, None, "Function", None, "f", None)),
+    "q_structure_swift": _items((0, None, "Class", None, "C", None), (1, 0, "Function", None, "m", None), (2, None, "Function", None, "f", None)),
+    "q_structure_scala": _items((0, None, "Class", None, "C", None), (1, 0, "Function", None, "m", None)),
+    "q_structure_bash": _items((0, None, "Function", None, "f", None), (1, None, "Function", None, "g", None)),
+    "q_comments_many": f"SELECT {_S}, l AS language, i::INTEGER AS ordinal, t || CASE WHEN k THEN s_suppkey || e ELSE '' END AS text FROM supplier, (VALUES ('bash', 0, '#!/bin/sh', false, ''), ('bash', 1, '# out ', true, ''), ('php', 0, '# one ', true, ''), ('php', 1, '// two', false, ''), ('css', 0, '/* c ', true, ' */'), ('csharp', 0, '// c ', true, ''), ('csharp', 1, '/* d */', false, '')) v(l, i, t, k, e)",
+    "q_tree_css": _kind_counts(stylesheet=1, import_statement=1, comment=1, rule_set=2, media_statement=1, declaration=3, block=3),
     "q_structure_elixir": _items((0, None, "Module", None, "A", None), (1, 0, "Struct", None, None, None), (2, 0, "Function", None, "f", "public"), (3, 0, "Function", None, "g", "private"), (4, 0, "Other", "Macro", "m", "public")),
     "q_imports_elixir": f"SELECT {_S}, 0 AS ordinal, 'use X' || s_suppkey AS source, false AS is_wildcard FROM supplier UNION ALL SELECT s_suppkey, 1, 'alias Y.Z', false FROM supplier",
     "q_wire_elixir": f"SELECT {_S}, i::INTEGER AS ordinal, k AS kind FROM supplier, (VALUES (0, 'Module'), (1, 'Struct'), (2, 'Function'), (3, 'Function'), (4, '{{\"Other\":\"Macro\"}}')) v(i, k)",

@@ -94,7 +94,7 @@ def test_sexp():
 
 
 @settings(max_examples=120, deadline=None)
-@given(st.sampled_from(["python", "javascript", "rust", "ruby", "elixir", "html", "json", "csv", "c", "text"]), st.text(alphabet="{}()[]<>:;,=@#/*\"'\n\t defclasimport12é😀", max_size=80), st.integers(1, 30))
+@given(st.sampled_from(["bash", "php", "css", "csharp", "python", "javascript", "rust", "ruby", "elixir", "html", "json", "csv", "c", "text"]), st.text(alphabet="{}()[]<>:;,=@#/*\"'\n\t defclasimport12é😀", max_size=80), st.integers(1, 30))
 def test_trees_and_chunks_of_any_text(language, text, most):
     nodes = parse(text, language)
     for i, n in enumerate(nodes):
