@@ -280,10 +280,12 @@ def _tokens(batches):
 def _rest(buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components that can still link, among all that share a bucket with another component.
 
-    A large group of rather similar texts would have a pair for any two here. So pairs are made by prefixes: with its shingles
-    ordered by how many of these sets have them, two sets that link share one of the first n - ceil(n * percent / 100) + 1 of
-    each, and those are the rarest. The sizes of the sets must allow the similarity too, and so must what is left of both sets
-    from the first such shingle on: before it they have none in common.
+    A large group of rather similar texts would have a pair for any two here. So pairs are made by prefixes: shingles are ordered
+    by how many of these sets have them, the rarest first. The first one that two linking sets have in common leaves room for
+    all others after it, so it stands in the larger set among the first n - ceil(n * percent / 100) + 1, and in the smaller
+    one, whose size is at most the mean, among the first n - ceil(2 * n * percent / (100 + percent)) + 1. So common shingles that
+    only come after a set's own ones meet nothing. The sizes of the sets must allow the similarity too, and so must what is left
+    of both sets from the first such shingle on.
     """
     rows = buckets.select("band", "key", "id").join(comp, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("c"))
     mixed = rows.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
@@ -296,6 +298,7 @@ def _rest(buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) ->
     prefix = lists.select("id", "c", "n").join(ranked, "id").select("id", "c", "n", F.posexplode(F.slice("ranked", F.lit(1), least.cast("int"))).alias("at", "t"))
     prefix = materialize(prefix.where("t.df > 1").select("id", "c", F.col("n") - F.col("at"), "n", F.col("t.token").alias("token")), "prefix")
     x, y = prefix.toDF("x", "cx", "rx", "nx", "token"), prefix.toDF("y", "cy", "ry", "ny", "token")
-    near = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (F.col("cx") < F.col("cy"))
+    x = x.where(F.col("rx") >= F.ceil(F.col("nx") * 2 * percent / (100 + percent)))  # the smaller set of a pair
+    near = (F.struct("nx", "x") < F.struct("ny", "y")) & (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("cx") != F.col("cy"))
     near &= F.least("rx", "ry") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
     return x.join(y, "token").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

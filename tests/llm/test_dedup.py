@@ -89,3 +89,23 @@ def test_components(spark):
     for limit in (10**6, 0):
         assert {r.id: r.component for r in graph.components(df, local_links=limit).collect()} == want
     assert graph.components(df.where(F.lit(False))).count() == 0
+
+
+def test_rest_is_exact(spark):
+    """Sets at and around the threshold, of equal and unequal sizes: every link between different components is a candidate."""
+    from tessera.llm import minhash
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 60)
+    sets = {}
+    for i in range(120):
+        own = set(base[rng.permutation(60)[: rng.integers(45, 61)]].tolist()) | set(rng.integers(0, 2**62, rng.integers(0, 9)).tolist())
+        sets[i] = own
+    for percent in (80, 85):
+        rows = [(i, bytearray(np.array(sorted(s), np.int64).tobytes())) for i, s in sets.items()]
+        table = spark.createDataFrame(rows, "id long, set binary")
+        buckets = spark.createDataFrame([(0, 7, i) for i in sets], "band int, key long, id long")
+        comp = spark.createDataFrame([(i, i) for i in sets], "id long, component long")
+        got = {(r.a, r.b) for r in minhash._rest(buckets, comp, table, percent).collect()}
+        want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+        assert want and want <= got and len(got) < 120 * 119 / 2
