@@ -5,8 +5,8 @@ keeps its smallest second hash, compressed to a count of leading zeros and ten m
 borrow from a full one by a fixed random sequence, so registers agree with the probability of the Jaccard similarity.
 
 1. Documents with equal sets form a class; only its smallest document goes on (a hot group of copies is one row from here).
-2. Registers, `rows` at a time, are band keys. All that share a key are candidates of one member of the bucket, its hub, so a
-   bucket of n rows costs n candidate pairs, not n squared.
+2. Registers, `rows` at a time, are band keys. All that share a key are candidates of two members of the bucket, its hubs, so a
+   bucket of n rows costs 2 n candidate pairs at most, not n squared.
 3. Each class ranks its hubs once by the buckets in common. A round takes the next ranks, and only between components that are
    still different. The estimate, corrected for chance agreement of compressed registers at the sizes of both sets, drops what is
    far below the threshold; full sets confirm the rest.
@@ -215,10 +215,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     classes = materialize(classes.select("sig", F.col("m.row").alias("id"), F.col("m.doc_id").alias("rep")), "classes")
     regs = materialize(feats.select(F.col("row").alias("id"), "n_shingles", "regs").join(classes.select("id"), "id"), "registers")
     buckets = regs.select("id", "regs").mapInArrow(_bands(bands, rows), "id long, keys array<long>").select("id", F.posexplode("keys").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").drop("n")
+    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("h0"), F.max("id").alias("h1")).where("n > 1").drop("n")
     buckets = materialize(buckets.join(shared, ["band", "key"]), "buckets")
-    hits = buckets.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("hits"))
-    best = Window.partitionBy("b").orderBy(F.desc("hits"), "a")  # at most a row for each band
+    hubs = buckets.select(F.explode(F.array_distinct(F.array("h0", "h1"))).alias("a"), F.col("id").alias("b")).where("a <> b")
+    hits = hubs.groupBy("a", "b").agg(F.count("*").alias("hits"))
+    best = Window.partitionBy("b").orderBy(F.desc("hits"), "a")  # at most two rows for each band
     pairs = materialize(hits.select("a", "b", F.row_number().over(best).alias("rank")), "pairs")
     sets = _candidate_sets(docs, classes.join(buckets.select("id").distinct(), "id"), shingle)
     comp = links = None
