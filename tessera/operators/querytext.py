@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.catalog import ALIASES, resolve_alias
+from tessera.operators.intel import RUBY_STRUCTURE, STRUCTURE
 from tessera.operators.process import ProcessConfig, process
+from tessera.operators.syntax import braces, records
 
 KINDS = ("highlights", "injections", "locals", "tags", "indents", "folds")
 
 
-def precedence(vendored: DataFrame, overlay: DataFrame) -> DataFrame:
-    """(language, kind, source) of both, the overlay's where both have one."""
-    o = overlay.select("language", "kind", F.col("source").alias("_overlay"))
-    return vendored.join(o, ["language", "kind"], "full").select("language", "kind", F.coalesce("_overlay", "source").alias("source"))
-
-
-def lookup(asked: DataFrame, queries: DataFrame, aliases: bool = False) -> DataFrame:
-    """asked(language, kind) with source, null for none. Aliases are resolved only on demand."""
-    rows = asked.withColumn("_to", resolve_alias(F.col("language")) if aliases else F.col("language"))
-    texts = queries.select(F.col("language").alias("_to"), "kind", "source")
-    return rows.join(texts, ["_to", "kind"], "left").select("language", "kind", "source")
-
-
 #: Captures of tag queries, by the kinds of structure items and symbols.
 CAPTURES = {
     "Class": "definition.class",
@@ -39,6 +28,56 @@ CAPTURES = {
 SYMBOL_CAPTURES = {"Type": "definition.type", "Constant": "definition.constant"}
 
 
+def _definitions(language: str) -> list[tuple[str, str]]:
+    """(node kind, capture) of what a language's tree defines by name, in the order of the backend."""
+    own = {"python": ("class_definition", "function_definition"), "ruby": ("class", "module", "method", "singleton_method")}
+    kinds = own.get(language) or tuple(dict.fromkeys(kind for _, kind in braces.LANGUAGES.get(language, ())))
+    of = {**STRUCTURE, **(RUBY_STRUCTURE if language == "ruby" else {})}
+    return [(k, CAPTURES[of[k]]) for k in kinds if of.get(k) in CAPTURES]
+
+
+def text_of(language: str, kind: str) -> str | None:
+    """The query text for this library's tree of a language, made from the kinds of its nodes; None where there is none.
+
+    highlights: comments, keys and values; tags: definitions with their names; folds and indents: what has a body or entries;
+    locals: scopes and definitions; injections: comments.
+    """
+    defined = _definitions(language)
+    record = records.KINDS.get(language)
+    if not defined and not record:
+        return None
+    if kind == "tags":
+        return "\n".join(f"({k} name: (_) @name) @{c}" for k, c in defined if c.startswith("definition")) or None
+    if kind == "locals":
+        return "\n".join(line for k, c in defined for line in (f"({k}) @local.scope", f"({k} name: (_) @local.definition)") if c.startswith("definition")) or None
+    if kind == "highlights":
+        return "(comment) @comment" + ("\n(key) @property\n(value) @string" if record else "".join(f"\n({k} name: (_) @{c.split('.')[1]})" for k, c in defined))
+    if kind == "injections":
+        return '((comment) @injection.content (#set! injection.language "comment"))'
+    capture = {"folds": "@fold", "indents": "@indent.begin"}[kind]
+    return "\n".join(f"({k}) {capture}" for k in dict.fromkeys([record[1]] if record else [k for k, _ in defined]))
+
+
+def builtin_queries(spark: SparkSession) -> DataFrame:
+    """(language, kind, source): query texts for the trees of this library, of every language with definitions or entries."""
+    names = sorted({*braces.LANGUAGES, *records.KINDS, "python", "ruby"})
+    rows = [(n, k, text) for n in names for k in KINDS if (text := text_of(n, k))]
+    return spark.createDataFrame(rows, "language string, kind string, source string")
+
+
+def precedence(vendored: DataFrame, overlay: DataFrame) -> DataFrame:
+    """(language, kind, source) of both, the overlay's where both have one."""
+    o = overlay.select("language", "kind", F.col("source").alias("_overlay"))
+    return vendored.join(o, ["language", "kind"], "full").select("language", "kind", F.coalesce("_overlay", "source").alias("source"))
+
+
+def lookup(asked: DataFrame, queries: DataFrame, aliases: bool = False) -> DataFrame:
+    """asked(language, kind) with source, null for none. Aliases are resolved only on demand."""
+    rows = asked.withColumn("_to", resolve_alias(F.col("language")) if aliases else F.col("language"))
+    texts = queries.select(F.col("language").alias("_to"), "kind", "source")
+    return rows.join(texts, ["_to", "kind"], "left").select("language", "kind", "source")
+
+
 def tags(docs: DataFrame) -> DataFrame:
     """docs(doc_id, content, language) -> (doc_id, capture, name, span) of what each document defines, or implements."""
     out = process(docs, ProcessConfig(structure=True, imports=False, exports=False, symbols=True))

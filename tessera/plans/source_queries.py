@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import io
 import json
 import tarfile
@@ -64,7 +65,6 @@ def q_archives(spark, d):
             info = tarfile.TarInfo(f"data/region_{r.r_regionkey}.json")
             info.size = len(body)
             archive.addfile(info, io.BytesIO(body))
-    spark.createDataFrame([(bytearray(buffer.getvalue()),)], "content binary").write.parquet(f"{path}-held")
     _put(spark, f"{path}/all.tar.gz", buffer.getvalue())
     members = files.read_archives(spark, path)
     some = files.read_archives(spark, path, ["data/region_0.json"]).select("name", F.lit(True).alias("asked"))
@@ -84,8 +84,6 @@ def q_manifest(spark, d):
     """A local manifest, and which of the files at hand have its digests."""
     path = files.scratch(spark, "manifest") + "/manifest.json"
     rows = table(spark, d, "region").select("r_name").orderBy("r_name").limit(10).collect()
-    import hashlib
-
     entries = [{"name": r.r_name, "group": "g", "url": f"file:///{r.r_name}", "sha256": hashlib.sha256(r.r_name.encode()).hexdigest(), "size": len(r.r_name)} for r in rows]
     _put(spark, path, json.dumps(entries).encode())
     manifest = files.read_manifest(spark, path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators import tree
 from tessera.operators.formats import strip_quotes_column
 from tessera.operators.process import ProcessConfig, code_chunks, family, parse_documents, process, s_expressions
-from tessera.operators.querytext import get_query, tags
+from tessera.operators.querytext import builtin_queries, get_query, precedence, tags
 from tessera.plans.queries import _families, _json_nodes, _python, table
 from tessera.plans.render import documents, join
 from tessera.sources import wire
@@ -267,6 +267,17 @@ def q_get_query(spark, d):
     return spark.createDataFrame(rows, "language string, kind string, source string")
 
 
+def q_builtin_queries(spark, d):
+    """Query texts of two languages by kind, and an overlay before them."""
+    overlay = spark.createDataFrame([("python", "folds", "own")], "language string, kind string, source string")
+    return precedence(builtin_queries(spark), overlay).where("language in ('python', 'toml')")
+
+
+def q_query_kinds(spark, d):
+    """How many languages have a text of each kind, among those whose trees define names."""
+    return builtin_queries(spark).where("language in ('python', 'ruby', 'java', 'go', 'rust', 'php', 'yaml', 'css')").groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def q_tree_toml(spark, d):
     """Node kinds of TOML files."""
     k = _key()
@@ -354,6 +365,15 @@ FROM supplier, (VALUES (0, 'class C', ':'), (1, 'def a', '(self):'), (2, 'def b'
     "q_configs": "WITH n AS (SELECT count(*) AS n FROM part WHERE p_partkey <= 20) SELECT c AS config, (s * n)::BIGINT AS structure, (i * n)::BIGINT AS imports, (k * n)::BIGINT AS comments, (y * n)::BIGINT AS symbols, (o * n)::BIGINT AS docstrings, (h * n)::BIGINT AS chunks FROM n, (VALUES ('default', 3, 2, -1, -1, -1, -1), ('all', 3, 2, 1, 3, 2, -1), ('minimal', -1, -1, -1, -1, -1, -1), ('chunks', -1, -1, -1, -1, -1, 1), ('own', -1, -1, 1, -1, -1, -1)) v(c, s, i, k, y, o, h)",
     "q_strip_quotes": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 2 THEN '\"' || s_suppkey || '''' WHEN 3 THEN '\"' ELSE s_suppkey::VARCHAR END AS bare FROM supplier",
     "q_tags": "SELECT p_partkey AS doc_id, c AS capture, n::BIGINT AS n, f || p_partkey AS first_name FROM part, (VALUES ('definition.class', 1, 'C_'), ('definition.function', 2, 'f_')) v(c, n, f)",
+    "q_builtin_queries": """SELECT l AS language, k AS kind, replace(t, '|', chr(10)) AS source FROM (VALUES
+('python', 'highlights', '(comment) @comment|(class_definition name: (_) @class)|(function_definition name: (_) @function)'),
+('python', 'injections', '((comment) @injection.content (#set! injection.language "comment"))'),
+('python', 'locals', '(class_definition) @local.scope|(class_definition name: (_) @local.definition)|(function_definition) @local.scope|(function_definition name: (_) @local.definition)'),
+('python', 'tags', '(class_definition name: (_) @name) @definition.class|(function_definition name: (_) @name) @definition.function'),
+('python', 'indents', '(class_definition) @indent.begin|(function_definition) @indent.begin'), ('python', 'folds', 'own'),
+('toml', 'highlights', '(comment) @comment|(key) @property|(value) @string'), ('toml', 'injections', '((comment) @injection.content (#set! injection.language "comment"))'),
+('toml', 'indents', '(table) @indent.begin'), ('toml', 'folds', '(table) @fold')) v(l, k, t)""",
+    "q_query_kinds": "SELECT * FROM (VALUES ('highlights', 7::BIGINT), ('injections', 7), ('locals', 6), ('tags', 6), ('indents', 7), ('folds', 7)) v(kind, n)",
     "q_get_query": "SELECT * FROM (VALUES ('shell', 'tags', 'b'), ('bash', 'tags', 'b'), ('makefile', 'folds', 'm'), ('makefile', 'tags', NULL)) v(language, kind, source)",
     "q_tree_toml": _kind_counts(document=1, comment=1, table=2, pair=1, array_item=2, key=3, value=1),
     "q_tree_yaml": _kind_counts(stream=1, comment=1, block_mapping=2, block_mapping_pair=1, block_sequence_item=2, key=3, value=3),
