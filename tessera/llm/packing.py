@@ -169,8 +169,9 @@ def _pack(capacity: tuple[float, ...], weights: tuple[float, ...], rule: str):
 def pack(pieces: DataFrame, max_tokens: int = 4096, max_documents: int | None = None, max_cost: float | None = None, weights: tuple[float, ...] = (1.0, 0.01, 0.01), rule: str = "norm") -> DataFrame:
     """pieces of tokenize() -> the same with (sequence_id, offset); a row for each input row.
 
-    max_documents and max_cost (sum of squared lengths) default to what max_tokens implies anyway. A piece as long as a whole
-    sequence has one to itself. Offsets are gapless from 0. Repeated rows are packed each; an empty table gives an empty one.
+    max_documents and max_cost (sum of squared lengths) default to what max_tokens implies anyway, so that they don't bind. A piece
+    as long as a whole sequence has one to itself. Offsets are gapless from 0. Pieces of equal length go by doc_id, piece and
+    row. Repeated rows are packed each, null ids too; extra columns are dropped; an empty table gives an empty one.
     """
     capacity = (float(max_tokens), float(max_documents or max_tokens), float(max_cost or max_tokens**2))
     pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")

@@ -15,6 +15,7 @@ def tokenizer_path() -> str:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capacities for documents and attention cost are those that 4096 tokens imply, so that tokens alone bind here."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
