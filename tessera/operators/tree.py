@@ -14,9 +14,12 @@ def roots(nodes: DataFrame) -> DataFrame:
 
 
 def parents(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, parent_id, parent_kind) of every node but roots."""
+    """(doc_id, node_id, parent_id, parent_kind) of every node but roots.
+
+    Sizes of parsed nodes are guessed from those of their texts, far too low, so the join is told not to broadcast any.
+    """
     p = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"))
-    return nodes.where("parent_id is not null").select("doc_id", "node_id", "parent_id").join(p, ["doc_id", "parent_id"]).select("doc_id", "node_id", "parent_id", "parent_kind")
+    return nodes.where("parent_id is not null").select("doc_id", "node_id", "parent_id").join(p.hint("merge"), ["doc_id", "parent_id"]).select("doc_id", "node_id", "parent_id", "parent_kind")
 
 
 def child(nodes: DataFrame, index: int) -> DataFrame:

@@ -9,7 +9,7 @@ from tessera import cli
 from tessera.errors import DownloadError, LanguageNotFoundError
 from tessera.functions import detect, sql
 from tessera.functions.metrics import metric_columns
-from tessera.operators import catalog
+from tessera.operators import catalog, tree
 from tessera.operators.process import ProcessConfig, parse_documents, process
 from tessera.sources import config, files, wire
 
@@ -125,3 +125,16 @@ def test_cli(tmp_path, capsys):
     out = json.loads(capsys.readouterr().out)
     assert [s["name"] for s in out["symbols"]] == ["f"] and not out["structure"]
     assert cli.main(["process", str(tmp_path / "no.xyz")]) == 1
+
+
+def test_parents_broadcast_no_nodes(spark, tmp_path):
+    """Spark guesses the size of parsed nodes from that of their texts; a broadcast of them took the driver's memory."""
+    spark.range(3).selectExpr("id as doc_id", """'{"a": {"b": [1]}}' as content""", "'json' as language").write.parquet(f"{tmp_path}/docs")
+    nodes = parse_documents(spark.read.parquet(f"{tmp_path}/docs"))
+    found = tree.parents(nodes)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    by_id = {(r.doc_id, r.node_id): r for r in nodes.collect()}
+    want = {(r.doc_id, r.node_id, r.parent_id, by_id[r.doc_id, r.parent_id].kind) for r in by_id.values() if r.parent_id is not None}
+    got = found.collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
