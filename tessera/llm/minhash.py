@@ -12,6 +12,10 @@ borrow from a full one by a fixed random sequence, so registers agree with the p
    far below the threshold; full sets confirm the rest.
 4. What shares a bucket but is still in different components is joined by the rarest shingles of the sets (a prefix filter, which
    is exact), so that no link is lost to the hubs.
+
+Every pair also has to pass its parities: PARITY bits say of how many shingles of a set, even or odd, each hash falls to it. Two
+sets differ in at least as many shingles as bits, so a pair whose bits differ in too many can't link: again exact. It keeps a large
+group of texts that are alike, but less than the threshold, from making a pair of any two.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ from tessera.llm.common import materialize, narrow, release
 from tessera.llm.graph import components
 
 MANTISSA = 10
+#: Parity bits of a set, in words of 64.
+PARITY = 1024
+_WORDS = [f"p{i}" for i in range(PARITY // 64)]
 #: Words hashed that a worker keeps at hand; beyond that it starts anew.
 MEMO = 200_000
 #: Documents whose ids may be broadcast to pick the texts to confirm; beyond that the texts are joined.
@@ -129,6 +136,13 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return ((a == b).mean(axis=1) - c) / (1 - c)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, PARITY / 64) words: a bit for each residue of hashes, set if an odd number of a set's hashes has it."""
+    at = np.concatenate([(s % np.uint64(PARITY)).astype(np.int64) + PARITY * i for i, s in enumerate(sets)])
+    odd = (np.bincount(at, minlength=PARITY * len(sets)) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(len(sets), -1)
+
+
 def _features(size: int, k: int):
     def run(batches):
         memo = _Memo()
@@ -139,12 +153,14 @@ def _features(size: int, k: int):
                 some = [i for i, s in enumerate(sets) if len(s)]
                 sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 regs: list = [None] * len(sets)
+                odd: list = [None] * len(sets)
                 if some:
-                    for i, r in zip(some, registers([sets[i] for i in some], k), strict=True):
-                        regs[i] = r.tobytes()
+                    full = [sets[i] for i in some]
+                    for i, r, b in zip(some, registers(full, k), parities(full), strict=True):
+                        regs[i], odd[i] = r.tobytes(), b.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(regs, pa.binary())],
-                    ["doc_id", "n_shingles", "sig", "regs"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(regs, pa.binary()), pa.array(odd, pa.binary())],
+                    ["doc_id", "n_shingles", "sig", "regs", "odd"],
                 )
 
     return run
@@ -170,13 +186,17 @@ def _sets(size: int):
     return run
 
 
-def _likely(least: float):
+def _likely(percent: int):
+    least = percent / 100 - 0.15
+
     def run(batches):
         for batch in batches:
             if len(batch):
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(len(batch), -1) for i in (2, 3))
                 n_a, n_b = (batch.column(i).to_numpy() for i in (4, 5))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(estimate(a, b, n_a, n_b) >= least))
+                odd_a, odd_b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(batch), -1) for i in (6, 7))
+                can = np.bitwise_count(odd_a ^ odd_b).sum(1, dtype=np.int64) * (100 + percent) <= (n_a + n_b) * (100 - percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(can & (estimate(a, b, n_a, n_b) >= least)))
 
     return run
 
@@ -208,12 +228,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     by their texts; each comes back. Extra columns are ignored; an empty table gives an empty one.
     """
     docs = narrow(docs, doc_id="long", text="string")
-    feats = docs.mapInArrow(_features(shingle, bands * rows), "doc_id long, n_shingles long, sig binary, regs binary")
+    feats = docs.mapInArrow(_features(shingle, bands * rows), "doc_id long, n_shingles long, sig binary, regs binary, odd binary")
     feats = materialize(feats.withColumn("row", F.monotonically_increasing_id()), "features")
     first = F.min(F.struct("doc_id", "row")).alias("m")
     classes = feats.where("sig is not null and doc_id is not null").groupBy("sig").agg(first)
     classes = materialize(classes.select("sig", F.col("m.row").alias("id"), F.col("m.doc_id").alias("rep")), "classes")
-    regs = materialize(feats.select(F.col("row").alias("id"), "n_shingles", "regs").join(classes.select("id"), "id"), "registers")
+    regs = materialize(feats.select(F.col("row").alias("id"), "n_shingles", "regs", "odd").join(classes.select("id"), "id"), "registers")
     buckets = regs.select("id", "regs").mapInArrow(_bands(bands, rows), "id long, keys array<long>").select("id", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("h0"), F.max("id").alias("h1")).where("n > 1").drop("n")
     buckets = materialize(buckets.join(shared, ["band", "key"]), "buckets")
@@ -263,9 +283,9 @@ def _candidate_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFra
 
 
 def _verify(pairs: DataFrame, inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    k = inside.select("id", "regs", "n_shingles")
-    both = pairs.join(k.toDF("a", "ra", "na"), "a").join(k.toDF("b", "rb", "nb"), "b").select("a", "b", "ra", "rb", "na", "nb")
-    likely = materialize(both.mapInArrow(_likely(percent / 100 - 0.15), "a long, b long"), "likely")
+    k = inside.select("id", "regs", "n_shingles", "odd")
+    both = pairs.join(k.toDF("a", "ra", "na", "oa"), "a").join(k.toDF("b", "rb", "nb", "ob"), "b").select("a", "b", "ra", "rb", "na", "nb", "oa", "ob")
+    likely = materialize(both.mapInArrow(_likely(percent), "a long, b long"), "likely")
     both = likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     out = materialize(both.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
     release(likely)
@@ -274,8 +294,11 @@ def _verify(pairs: DataFrame, inside: DataFrame, sets: DataFrame, percent: int)
 
 def _tokens(batches):
     for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "c", "n", "tokens"])
+        if len(batch):
+            sets = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            odd = parities([x.view(np.uint64) for x in sets])
+            columns = [pa.array([len(x) for x in sets], pa.int64()), *(pa.array(odd[:, i]) for i in range(odd.shape[1])), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "c", "n", *_WORDS, "tokens"])
 
 
 def _rest(buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -286,20 +309,22 @@ def _rest(buckets: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) ->
     all others after it, so it stands in the larger set among the first n - ceil(n * percent / 100) + 1, and in the smaller
     one, whose size is at most the mean, among the first n - ceil(2 * n * percent / (100 + percent)) + 1. So common shingles that
     only come after a set's own ones meet nothing. The sizes of the sets must allow the similarity too, and so must what is left
-    of both sets from the first such shingle on.
+    of both sets from the first such shingle on, and their parities.
     """
     rows = buckets.select("band", "key", "id").join(comp, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("c"))
     mixed = rows.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
     ids = rows.join(mixed, ["band", "key"]).select("id", "c").distinct()
-    lists = materialize(sets.join(ids, "id").select("id", "c", "set").mapInArrow(_tokens, "id long, c long, n long, tokens array<long>"), "tokens")
+    lists = materialize(sets.join(ids, "id").select("id", "c", "set").mapInArrow(_tokens, "id long, c long, n long, " + ", ".join(f"{w} long" for w in _WORDS) + ", tokens array<long>"), "tokens")
     tokens = lists.select("id", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ranked = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     least = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = lists.select("id", "c", "n").join(ranked, "id").select("id", "c", "n", F.posexplode(F.slice("ranked", F.lit(1), least.cast("int"))).alias("at", "t"))
-    prefix = materialize(prefix.where("t.df > 1").select("id", "c", F.col("n") - F.col("at"), "n", F.col("t.token").alias("token")), "prefix")
-    x, y = prefix.toDF("x", "cx", "rx", "nx", "token"), prefix.toDF("y", "cy", "ry", "ny", "token")
+    prefix = lists.drop("tokens").join(ranked, "id").select("id", "c", "n", *_WORDS, F.posexplode(F.slice("ranked", F.lit(1), least.cast("int"))).alias("at", "t"))
+    prefix = materialize(prefix.where("t.df > 1").select("id", "c", F.col("n") - F.col("at"), "n", F.col("t.token").alias("token"), *_WORDS), "prefix")
+    x, y = (prefix.toDF(v, f"c{v}", f"r{v}", f"n{v}", "token", *(f"{v}{w}" for w in _WORDS)) for v in "xy")
     x = x.where(F.col("rx") >= F.ceil(F.col("nx") * 2 * percent / (100 + percent)))  # the smaller set of a pair
     near = (F.struct("nx", "x") < F.struct("ny", "y")) & (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("cx") != F.col("cy"))
     near &= F.least("rx", "ry") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    apart = sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in _WORDS), F.lit(0))
+    near &= apart * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
     return x.join(y, "token").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -7,7 +7,7 @@ import pytest
 from brute import components, near_links, shingles
 from pyspark.sql import functions as F
 
-from tessera.llm import graph
+from tessera.llm import graph, minhash
 from tessera.llm.minhash import chance, estimate, near_duplicates, registers
 
 SCHEMA = "doc_id long, text string"
@@ -109,3 +109,29 @@ def test_rest_is_exact(spark):
         got = {(r.a, r.b) for r in minhash._rest(buckets, comp, table, percent).collect()}
         want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
         assert want and want <= got and len(got) < 120 * 119 / 2
+
+
+def test_a_large_group_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    """Texts that are alike, but too little to link, leave no pair for any two of them; the links among them are found."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(200), 3):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, rows[i][1] + " end") for i in range(0, 120, 10)]
+    left, rest = [], minhash._rest
+
+    def counted(*args):
+        out = rest(*args)
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_rest", counted)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t, 5) for i, t in rows}
+    links = near_links(sets, 80)
+    assert got == components(list(sets), links)
+    assert left[0] <= len(rows) + len(links)
