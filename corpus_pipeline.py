@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, table
 from tessera.llm.langid import keep_identified, train
 from tessera.llm.minhash import near_duplicates
-from tessera.llm.mixing import drop_domain
+from tessera.llm.mixing import mix_without
 from tessera.llm.packing import pack_documents
+from tessera.llm.q_mixing import TARGETS
 from tessera.llm.q_packing import tokenizer_path
 from tessera.llm.secrets import redact
 
@@ -50,11 +51,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at rates of at most 1 that take the toxic domain's expected tokens to nothing and leave the others theirs.
+    """Documents without toxic ones, each of the others in one copy or more, so that tokens have the target shares of op9.
 
     Texts without words have the posteriors of unknown ones; rows that repeat go or stay together.
     """
-    return drop_domain(docs, table(spark, sf_dir, "labels"))
+    return mix_without(docs, table(spark, sf_dir, "labels"), TARGETS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -244,18 +244,8 @@ def _strongest(p: np.ndarray, at: int) -> np.ndarray:
     return p[:, at] > np.delete(p, at, 1).max(1)
 
 
-def drop_domain(docs: DataFrame, labels: DataFrame, domain: str = "toxic", share: float = 0.0) -> DataFrame:
-    """docs thinned so that documents of `domain` keep `share` of their tokens and the others theirs.
-
-    A document is of the domain that has the largest posterior, of another one than `domain` where that is tied. The targets are
-    the totals at which the others' rates are 1 and its own `share`; the projection bounds rates by these values from below for
-    the others, from above for its own, so that no draw drops one of the others or, at a share of 0, keeps one of its own.
-    Null, empty and blank texts have no tokens and the posteriors of a text without known words. Rows that repeat go or stay
-    together; an empty table gives an empty one; extra columns come through, whatever their names.
-    """
-    model = fit_domains(docs, labels)
-    at = model.names.index(domain)
-    k = len(model.names)
+def _marked(docs: DataFrame, model: Domains) -> DataFrame:
+    """docs with columns c0, c1, ..., then tokens and posteriors: one pass of the classifier, after which all read numbers alone."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text = docs.columns.index("text")
     predict = _memberships(model)
@@ -268,10 +258,43 @@ def drop_domain(docs: DataFrame, labels: DataFrame, domain: str = "toxic", share
                 yield pa.RecordBatch.from_arrays([*part.columns, *got.columns[1:]], [*part.schema.names, *got.schema.names[1:]])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", tokens long, " + ", ".join(f"p_{n} double" for n in model.names)
-    marked = materialize(plain.mapInArrow(mark, schema), "members")  # one pass of the classifier; all others read numbers alone
+    return materialize(plain.mapInArrow(mark, schema), "members")
+
+
+def _repeated(docs: DataFrame, marked: DataFrame, names: tuple[str, ...], steps: list[tuple[np.ndarray, float]], most: float, bounds) -> DataFrame:
+    """Rows of docs in as many copies as their rates say; rows that repeat have as many each."""
+    columns, key = list(docs.columns), docs.columns.index("doc_id")
+    k, own = len(names), list(range(len(docs.columns)))
+
+    def keep(batches):
+        for batch in batches:
+            p = np.stack([batch.column(len(columns) + 1 + i).to_numpy(zero_copy_only=False) for i in range(k)], 1)
+            copies = _copies(batch.column(key).to_pylist(), rates(p, steps, most, bounds))
+            for i in range(copies.max(initial=0)):  # so that no batch is larger than what was read
+                yield batch.filter(pa.array(copies > i)).select(own)
+
+    plain = marked.select(*[f"c{i}" for i in own])
+    return marked.mapInArrow(keep, plain.schema).toDF(*columns)
+
+
+def _mine(names: tuple[str, ...], domain: str):
+    return F.col(f"p_{domain}") > F.greatest(*[F.col(f"p_{n}") for n in names if n != domain])
+
+
+def drop_domain(docs: DataFrame, labels: DataFrame, domain: str = "toxic", share: float = 0.0) -> DataFrame:
+    """docs thinned so that documents of `domain` keep `share` of their tokens and the others theirs.
+
+    A document is of the domain that has the largest posterior, of another one than `domain` where that is tied. The targets are
+    the totals at which the others' rates are 1 and its own `share`; the projection bounds rates by these values from below for
+    the others, from above for its own, so that no draw drops one of the others or, at a share of 0, keeps one of its own.
+    Null, empty and blank texts have no tokens and the posteriors of a text without known words. Rows that repeat go or stay
+    together; an empty table gives an empty one; extra columns come through, whatever their names.
+    """
+    model = fit_domains(docs, labels)
+    at = model.names.index(domain)
+    marked = _marked(docs, model)
     # What the classifier's doubts give to each domain stays: the totals aimed at are those of the documents of other domains.
-    mine = F.col(f"p_{domain}") > F.greatest(*[F.col(f"p_{n}") for n in model.names if n != domain])
-    part = F.when(mine, share).otherwise(1.0) * F.col("tokens")
+    part = F.when(_mine(model.names, domain), share).otherwise(1.0) * F.col("tokens")
     goal = marked.agg(*[F.sum(part * F.col(f"p_{n}")).alias(n) for n in model.names]).first().asDict()
 
     def bounds(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,13 +302,34 @@ def drop_domain(docs: DataFrame, labels: DataFrame, domain: str = "toxic", share
         return np.where(own, 0.0, 1.0), np.where(own, share, 1.0)
 
     steps = fit_rates(marked, model.names, totals={n: x or 0.0 for n, x in goal.items()}, bounds=bounds)
-    key = docs.columns.index("doc_id")
+    return _repeated(docs, marked, model.names, steps, 1.0, bounds)
 
-    def keep(batches):
-        for batch in batches:
-            p = np.stack([batch.column(len(docs_columns) + 1 + i).to_numpy(zero_copy_only=False) for i in range(k)], 1)
-            kept = _copies(batch.column(key).to_pylist(), rates(p, steps, 1.0, bounds)) > 0
-            yield batch.filter(pa.array(kept)).select(list(range(len(docs_columns))))
 
-    docs_columns = list(docs.columns)
-    return marked.mapInArrow(keep, plain.schema).toDF(*docs_columns)
+def mix_without(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "toxic") -> DataFrame:
+    """docs without those of `domain`, the others repeated so that their tokens have the target shares over the other domains.
+
+    A document is of the domain that has the largest posterior, of another one than `domain` where that is tied. The rates of its
+    own are 0, those of the others 1 or more, so none of the others goes. The totals aimed at are the smallest ones of these shares
+    at which no domain of the others shrinks; a domain that is no document's strongest one can't be raised and has no share, and what
+    the others' posteriors give to `domain` stays as it is. No rate is above the largest factor by which a domain has to grow: a
+    domain whose posteriors are spread over documents of others may stay below its total. A document comes in whole copies, rounded up or down by a hash of its id; how far the totals are from their goals is
+    logged. Null, empty and blank texts have no tokens and the posteriors of a text without known words. Rows that repeat go or
+    stay together; an empty table gives an empty one; extra columns come through, whatever their names.
+    """
+    model = fit_domains(docs, labels)
+    at = model.names.index(domain)
+    marked = _marked(docs, model)
+    part = F.when(_mine(model.names, domain), 0.0).otherwise(1.0) * F.col("tokens")
+    sums = [F.sum(part * F.col(f"p_{n}")).alias(n) for n in model.names] + [F.max(_mine(model.names, n) & (F.col("tokens") > 0)).alias(f"any_{n}") for n in model.names]
+    row = marked.agg(*sums).first()
+    now = {n: row[n] or 0.0 for n in model.names}
+    wanted = {n: targets[n] for n in model.names if n != domain and targets.get(n, 0) > 0 and row[f"any_{n}"]}
+    size = max((now[n] / x for n, x in wanted.items()), default=0.0)
+    most = max([1.0, *(size * x / now[n] for n, x in wanted.items())])
+
+    def bounds(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = _strongest(p, at)
+        return np.where(own, 0.0, 1.0), np.where(own, 0.0, most)
+
+    steps = fit_rates(marked, model.names, totals=now | {n: size * x for n, x in wanted.items()}, bounds=bounds)
+    return _repeated(docs, marked, model.names, steps, most, bounds)

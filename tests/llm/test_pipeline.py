@@ -97,3 +97,16 @@ def test_empty(spark, tables, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{tables[0]}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_has_target_shares(spark, tmp_path):
+    """The rates reach what is packed: no clean document goes, toxic ones do, and the others' tokens have the target shares."""
+    rows = [(i, " ".join([("fine" if i % 4 == 0 else "poor" if i % 4 < 3 else "vile") + str(j % 5) for j in range(20)] + [f"w{i}"])) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.createDataFrame([(i, int(i % 4 == 0), int(i % 4 == 3)) for i in range(800)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {i for i in range(800) if i % 4 != 3}
+    assert abs(sum(r.doc_id % 4 == 0 for r in got) / len(got) - 0.7) < 0.03
+    assert sum(r.doc_id % 4 != 0 for r in got) <= 410  # nothing is repeated in vain
+    packed = corpus_pipeline.packing(spark, spark.createDataFrame(got, docs.schema), str(tmp_path))
+    assert packed.count() == len(got)
