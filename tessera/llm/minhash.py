@@ -138,9 +138,10 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 def parities(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, PARITY / 64) words: a bit for each residue of hashes, set if an odd number of a set's hashes has it."""
-    at = np.concatenate([(s % np.uint64(PARITY)).astype(np.int64) + PARITY * i for i, s in enumerate(sets)])
-    odd = (np.bincount(at, minlength=PARITY * len(sets)) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64).reshape(len(sets), -1)
+    out = np.empty((len(sets), PARITY // 8), np.uint8)
+    for row, s in zip(out, sets, strict=True):  # one by one: counts of a batch would take a worker's memory
+        row[:] = np.packbits((np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8))
+    return out.view(np.int64)
 
 
 def _features(size: int, k: int):
