@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import components
 from hypothesis import given, settings
@@ -100,6 +101,51 @@ def test_words_are_enough(texts):
         assert ids == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def _ids(texts, most=4096):
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    return [r for out in packing._pieces(tokenizer_path(), most)([batch, batch.slice(1, 2), batch.slice(0, 0)]) for r in out.to_pylist()]
+
+
+def test_ids_of_odd_texts():
+    """Marks between words that are in texts too, special tokens, letters that become a letter and a mark, pieces cut at their end."""
+    texts = [None, "", " \t", " a\0b c\0 \0 Hi, <|endoftext|>x A<|EndOfText|> <|startoftext|>\n", "\u0130. \u0958. \ufb4c!? é.", "a " * 4095, "\x0b\x0c\ra b ", "x" * 9000 + ".,;", "a " * 4096]
+    words = packing._words(tokenizer_path())
+    got = _ids(texts)
+    for i in [*range(len(texts))]:
+        ids = np.array([*words.tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, 1], "<u4")
+        want = [(k, at, len(x), zlib.crc32(x.tobytes())) for k, at in enumerate(range(0, len(ids), 4096)) if len(x := ids[at : at + 4096])]
+        own = [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == i]
+        assert own == want * (2 if i in (1, 2) else 1)
+
+
+def test_words_are_kept_and_coded_cheaply(monkeypatch):
+    """New words go to the tokenizer many at a time; a worker keeps at most MEMO of them, in tens of bytes each, with the same ids."""
+
+    class Counting:
+        texts = 0
+
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(packing, "MEMO", 3000)
+    monkeypatch.setattr(packing, "PART", 20_000)
+    words = packing.Words(tokenizer_path())
+    monkeypatch.setattr(packing, "_words", lambda path: words)
+    words.tokenizer = counting = Counting(words.tokenizer)
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) + "," * (k % 2) for k in range(500)) for _ in range(20)]
+    got = _ids(texts)
+    assert counting.texts < 200
+    assert len(words.known) == len(words.coded) == 3000 and words.known.nbytes + words.coded.nbytes < 3000 * 80
+    for i, text in enumerate(texts):
+        ids = [*words.tokenizer.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert [r["ids_crc32"] for r in got if r["doc_id"] == i][0] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds(spark, rule):
     rng = np.random.default_rng(2)
