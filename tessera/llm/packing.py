@@ -26,7 +26,7 @@ GROUP = 16_384
 #: Words whose ids a worker keeps.
 MEMO = 400_000
 #: Bytes of text that are split and coded at once.
-PART = 1 << 22
+PART = 1 << 21
 END = 1
 #: ASCII punctuation that no contraction begins with.
 TAIL = ".,;:!?*#%&$|)"
@@ -174,6 +174,8 @@ def _pieces(path: str, most: int):
                             column.append(x)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                lists = tokens = ids = data = None
+            pa.default_memory_pool().release_unused()  # a worker lives on after this stage, and the next ones need the memory
 
     return run
 

@@ -1,8 +1,11 @@
 """op5, op8, op9 and op10 against plain versions, held-out accuracy and gradients."""
 
 import math
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +149,25 @@ def test_words_are_kept_and_coded_cheaply(monkeypatch):
         assert [r["ids_crc32"] for r in got if r["doc_id"] == i][0] == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_packing_leaves_a_worker_small():
+    """A worker that has packed 800 000 new words has grown by a few tens of MB, as it lives on through the pipeline's other stages."""
+    code = f"""
+import re, numpy as np, pyarrow as pa
+from tessera.llm import packing
+def own():
+    return sum(map(int, re.findall("Pss_(?:Anon|Shmem): +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+batches = [pa.record_batch({{"doc_id": pa.array([k]), "text": pa.array([" ".join(map(bytes.decode, np.random.default_rng(k).integers(97, 123, (20_000, 8), np.uint8).view("S8").ravel()))])}}) for k in range(40)]
+run = packing._pieces({tokenizer_path()!r}, 4096)
+list(run([pa.record_batch({{"doc_id": pa.array([0]), "text": pa.array(["a b"])}})]))
+before = own()
+for batch in batches:
+    list(run([batch]))
+print(own() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=300)
+    assert float(done.stdout) < 60, done.stderr
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds(spark, rule):
     rng = np.random.default_rng(2)
